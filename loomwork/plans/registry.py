@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.plans import pipeline
+
+FAMILIES = [pipeline]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    out: dict[str, Query] = {}
+    for family in FAMILIES:
+        out.update(family.queries())
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for family in FAMILIES:
+        out.update(getattr(family, "oracle_sql", dict)())
+    return out
