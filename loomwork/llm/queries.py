@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import leakage, merkle, mixing, sampling
+from loomwork.llm import leakage, merkle, mixing, packing, sampling, tokens
 from loomwork.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: mixing.short_sources(t(s, d, "corpus_row"), t(s, d, "mix_target")),
         "p4_mix": lambda s, d: mixing.mix_sources(t(s, d, "corpus_row"), t(s, d, "mix_target")),
         "p4_report": lambda s, d: mixing.mix_report(t(s, d, "corpus_row"), t(s, d, "mix_target")),
+        "p5_tokens": lambda s, d: tokens.tokens_by_row(t(s, d, "corpus_row")),
+        "p5_totals": lambda s, d: tokens.token_totals(t(s, d, "corpus_row")),
+        "p7_packed": lambda s, d: packing.pack_documents(t(s, d, "documents"), t(s, d, "container")),
+        "p7_report": lambda s, d: packing.packing_report(packing.pack_documents(t(s, d, "documents"), t(s, d, "container"))),
         "p8_found": lambda s, d: leakage.leaked_items(t(s, d, "documents"), t(s, d, "eval_item")),
         "p8_passages": lambda s, d: leakage.leaked_passages(t(s, d, "documents"), t(s, d, "eval_item")),
         "p8_covered": lambda s, d: leakage.covered_items(t(s, d, "documents"), t(s, d, "eval_item")),

@@ -104,11 +104,11 @@ def _tagged(df: DataFrame, categories: DataFrame, seed: int, key_cols: list[str]
     return keyed.join(known, (F.col("level") == F.col("_l")) & (plain_mode(F.col("mode")) == F.col("_m"))).drop("_l", "_m").withColumn("_slice", prefix.slice_of(F.col("_key")))
 
 
-def plan_sample(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The plan by category, the tagged rows, and their counts by slice."""
+def plan_sample(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None, sliced: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plan by category, the tagged rows, and their counts by category and, if ``sliced``, by slice."""
     categories = _categories(targets)
     rows = _tagged(df, categories, seed, key_cols or [c for c, t in df.dtypes if not t.startswith(("map", "variant"))])
-    counts = prefix.slice_sums(rows, ["_cat"], "_slice", F.lit(1), "_n")
+    counts = prefix.slice_sums(rows, ["_cat"], "_slice", F.lit(1), "_n") if sliced else rows.groupBy("_cat").agg(F.count("*").alias("_n"))
     known = counts.groupBy("_cat").agg(F.sum("_n").alias("available"))
     stats = categories.join(known, "_cat", "left").select("_cat", "level", "mode", F.coalesce("available", F.lit(0)).cast("long").alias("available"), F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_rows")).alias("wanted"), "min_rows", "target_share", "sample_rows")
     # as many rows as the target table has, whatever the size of the data
@@ -131,7 +131,7 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols
 
 def sample_report(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> DataFrame:
     """Per category: rows there, wanted and taken, its share, and whether the target can't be met."""
-    plan, _, _ = plan_sample(df, targets, seed, key_cols)
+    plan, _, _ = plan_sample(df, targets, seed, key_cols, sliced=False)
     taken = F.col("crossed") + F.col("add") - F.col("remove")
     return plan.withColumn("taken", taken).select("level", "mode", "available", "wanted", "min_rows", "target_share", "sample_rows", "taken", (F.col("taken") / F.col("sample_rows")).alias("actual_share"), (F.col("available") < F.col("wanted") - _EPS).alias("short"))
 
