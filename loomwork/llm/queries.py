@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import leakage, merkle, mixing, packing, sampling, tokens
+from loomwork.llm import leakage, merkle, mixing, packing, pii, sampling, tokens
 from loomwork.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,5 +29,7 @@ def queries() -> dict[str, Query]:
         "p7_report": lambda s, d: packing.packing_report(packing.pack_documents(t(s, d, "documents"), t(s, d, "container"))),
         "p8_found": lambda s, d: leakage.leaked_items(t(s, d, "documents"), t(s, d, "eval_item")),
         "p8_passages": lambda s, d: leakage.leaked_passages(t(s, d, "documents"), t(s, d, "eval_item")),
+        "p9_found": lambda s, d: pii.distinct_finds(t(s, d, "documents")),
+        "p9_redacted": lambda s, d: pii.redact(t(s, d, "documents")),
         "p8_covered": lambda s, d: leakage.covered_items(t(s, d, "documents"), t(s, d, "eval_item")),
     }
