@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import pipeline
+from loomwork.plans import graphs, pipeline, relational
 
-FAMILIES = [pipeline]
+FAMILIES = [pipeline, relational, graphs]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
