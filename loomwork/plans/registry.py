@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import graphs, pipeline, relational
+from loomwork.plans import collection, extensions, graphs, language, pipeline, reasoning, relational, scoring
 
-FAMILIES = [pipeline, relational, graphs]
+FAMILIES = [pipeline, relational, graphs, reasoning, language, scoring, collection, extensions]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
