@@ -18,8 +18,8 @@ fewer rows than its target gives all its rows; the others share what is
 missing by their targets.  Repeated rows count and can be drawn each.  Ties
 of the random key are broken by the key columns.  An empty table, or one
 without any matching category, gives an empty sample and a report in which
-every category falls short.  Columns named like the helper columns
-(``_cat`` ...) are kept out of the result.
+every category falls short.  Columns named like the operator's own (``_OWN``)
+are left out of the result; all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators import prefix
+from loomwork.scratch import drop_clashing
 
 BLANKS = r"[\s\p{Z}\p{Pd}_\x{85}\x{1c}-\x{1f}]"
 STATS = "_cat int, level int, mode string, available long, wanted double, min_rows long, target_share double, sample_rows long"
 PLAN = f"{STATS}, base double, expected double, crossed long, add long, remove long, start double"
 _EPS = 1e-9
+#: Columns that the operator works with; those of the input are left out.
+_OWN = ("_cat", "_key", "_slice", "_n", "_before", "_rank", "_l", "_m", "_available", "_base", "_expected", "_add", "_remove", "_start")
 
 
 def plain_mode(mode: Column) -> Column:
@@ -100,12 +103,13 @@ def _categories(targets: DataFrame) -> DataFrame:
 def _tagged(df: DataFrame, categories: DataFrame, seed: int, key_cols: list[str]) -> DataFrame:
     """Rows in a category, with their number, random key and slice."""
     known = categories.select(F.col("level").alias("_l"), F.col("_mode").alias("_m"), "_cat")
-    keyed = df.drop("_cat", "_key", "_slice").withColumn("_key", prefix.hash_key(seed, *[F.col(c) for c in key_cols]))
+    keyed = df.withColumn("_key", prefix.hash_key(seed, *[F.col(f"`{c}`") for c in key_cols]))
     return keyed.join(known, (F.col("level") == F.col("_l")) & (plain_mode(F.col("mode")) == F.col("_m"))).drop("_l", "_m").withColumn("_slice", prefix.slice_of(F.col("_key")))
 
 
 def plan_sample(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None, sliced: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The plan by category, the tagged rows, and their counts by category and, if ``sliced``, by slice."""
+    df = drop_clashing(df, *_OWN)
     categories = _categories(targets)
     rows = _tagged(df, categories, seed, key_cols or [c for c, t in df.dtypes if not t.startswith(("map", "variant"))])
     counts = prefix.slice_sums(rows, ["_cat"], "_slice", F.lit(1), "_n") if sliced else rows.groupBy("_cat").agg(F.count("*").alias("_n"))
@@ -120,13 +124,13 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols
     plan, rows, counts = plan_sample(df, targets, seed, key_cols)
     offsets = prefix.slice_offsets(counts, ["_cat"], "_slice", "_n", "_before")
     ranked = prefix.with_prefix(rows, offsets, ["_cat"], "_slice", ["_key", *(key_cols or [])], F.lit(1), "_before", "_rank")
-    joined = ranked.join(plan.select("_cat", "available", "base", "expected", "add", "remove", "start"), "_cat")
-    end = lambda x: F.floor(F.when(F.abs(x - F.round(x)) < _EPS, F.round(x)).otherwise(x) + F.col("start"))
-    at = lambda r: end(F.when(r == F.col("available"), F.col("base") + F.col("expected")).otherwise(F.col("base") + F.col("expected") * (r / F.col("available"))))
-    hits = at(F.col("_rank")) - end(F.col("base"))  # selected up to and with this row
+    joined = ranked.join(plan.select("_cat", *[F.col(c[1:]).alias(c) for c in _OWN[-6:]]), "_cat")
+    end = lambda x: F.floor(F.when(F.abs(x - F.round(x)) < _EPS, F.round(x)).otherwise(x) + F.col("_start"))
+    at = lambda r: end(F.when(r == F.col("_available"), F.col("_base") + F.col("_expected")).otherwise(F.col("_base") + F.col("_expected") * (r / F.col("_available"))))
+    hits = at(F.col("_rank")) - end(F.col("_base"))  # selected up to and with this row
     crossed = at(F.col("_rank")) > at(F.col("_rank") - 1)
-    kept = (crossed & (hits > F.col("remove"))) | (~crossed & (F.col("_rank") - hits <= F.col("add")))
-    return joined.filter(kept).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("_cat", "_key", "_slice")])
+    kept = (crossed & (hits > F.col("_remove"))) | (~crossed & (F.col("_rank") - hits <= F.col("_add")))
+    return joined.filter(kept).select(*[F.col(f"`{c}`") for c in drop_clashing(df, *_OWN).columns])
 
 
 def sample_report(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> DataFrame:
