@@ -14,10 +14,12 @@ Bootstrapped contextual extraction.
    all texts.  Patterns find names that no seed has; shapes, names and streets
    that were learned are found wherever they stand.
 
-Scale.  Texts are read twice and never shuffled; what is shuffled are mentions
-and the graph's pre-aggregated edges.  The learned lexicon goes to the tasks in
-blocks of at most ``BLOCK`` entries, whatever its size: a larger one is worked
-through block by block, each over all texts.
+Scale.  Texts are read twice and not shuffled; what is shuffled are mentions
+and the graph's pre-aggregated edges.  A learned lexicon of at most ``BLOCK``
+entries goes to the tasks whole.  A larger one goes block by block over all
+texts; what a block's words ask of the whole lexicon is answered by joins, and
+each text that has any then meets its own part of the lexicon, for which these
+texts are shuffled once.  The finds are the same whatever the size of a block.
 
 Defined results.  Null and empty texts have no finds.  A find in a text that
 stands twice is one row of ``finds``.  A text repeated under another doc_id
@@ -301,42 +303,50 @@ def number_finds(found: DataFrame, scores: DataFrame, patterns: DataFrame) -> Da
     return hits.join(o, longer, "left_anti").select("doc_id", F.col("as_kind").alias("kind"), "found_text", "start")
 
 
+def facts_of(kind: str, value: str) -> Iterator[tuple[str, str]]:
+    """(kind, key) of what a learned entry says: the forms that are searched for, and what is asked of them."""
+    sort = ""
+    if kind == "street":
+        sort, _, value = value.partition(":")
+    if kind == "context":
+        yield kind, value
+    elif kind == "town" or sort == "phrase":
+        yield sort or kind, fold(value)
+    else:
+        if not sort:
+            yield kind, fold(value)
+        forms = {value, value.replace("straße", "strasse")} if sort == "full" else {value} if sort else {value, fold(value)}
+        for form in forms:
+            if len(form) > 1:
+                yield f"form:street_{sort}" if sort else f"form:{kind}", form
+
+
 class Lexicon:
-    """What was learned, as one automaton over lower-case text."""
+    """What was learned, as one automaton over lower-case text.
+
+    Of entries, or of the facts that a single text asks for; then the words
+    that are put together like family names are among the facts.
+    """
 
-    def __init__(self, entries: list[tuple[str, str]]) -> None:
-        self.given, self.family, self.towns, self.contexts = set(), set(), set(), set()
-        self.phrases: set[str] = set()
+    def __init__(self, entries: list[tuple[str, str]], facts: list[tuple[str, str]] | None = None) -> None:
+        known: dict[str, set[str]] = {k: set() for k in ("given", "family", "town", "context", "phrase", "like")}
         words: dict[str, set[str]] = {}
-        for kind, value in entries:
-            if kind in ("given", "family"):
-                getattr(self, kind).add(fold(value))
-                forms = {value, fold(value)}
-            elif kind == "town":
-                self.towns.add(fold(value))
-                continue
-            elif kind == "context":
-                self.contexts.add(value)
-                continue
+        for kind, key in facts if facts is not None else (f for e in entries for f in facts_of(*e)):
+            if kind.startswith("form:"):
+                words.setdefault(key, set()).add(kind.removeprefix("form:"))
             else:
-                sort, _, value = value.partition(":")
-                if sort == "phrase":
-                    self.phrases.add(fold(value))
-                    continue
-                kind = f"street_{sort}"
-                forms = {value, value.replace("straße", "strasse")} if sort == "full" else {value}
-            for form in forms:
-                if len(form) > 1:
-                    words.setdefault(form, set()).add(kind)
+                known[kind].add(key)
+        self.given, self.family, self.towns, self.contexts, self.phrases = (known[k] for k in ("given", "family", "town", "context", "phrase"))
         self.machine = ahocorasick.Automaton()
         for form, kinds in words.items():
             self.machine.add_word(form, (len(form), frozenset(kinds)))
         if words:
             self.machine.make_automaton()
         self.empty = not words
+        self.alike = None if facts is None else known["like"]
         heads: dict[str, set[str]] = {}
         tails: dict[str, set[str]] = {}
-        for word in self.family:
+        for word in self.family if facts is None else ():
             for k in range(3, len(word) - 2):
                 heads.setdefault(word[:k], set()).add(word[k:])
                 tails.setdefault(word[k:], set()).add(word[:k])
@@ -347,12 +357,15 @@ class Lexicon:
     def like_family(self, word: str) -> bool:
         """Whether the word is put together from parts that known family names share."""
         low = fold(word)
+        if self.alike is not None:
+            return low in self.alike
         return any(low[:k] in self.heads and low[k:] in self.tails for k in range(3, len(low) - 2))
 
 
 _FAMILY = rf"(?:{PARTICLES}\s){{0,2}}(?P<family>{WORD})"
 _AFTER_GIVEN = re.compile(rf"(?:\s[^\W\d_]\.?(?=\s))?(?:\s[^\W\d_]\.)?\s{_FAMILY}(?![\w@]|[.][\w])", re.I)
 _FAMILY_BEFORE = re.compile(rf"(?:^|(?<=[^\w@./+-]))(?:{PARTICLES}\s){{0,2}}(?P<family>{WORD})(?P<comma>,?)\s$", re.I)
+_COMPOUND = re.compile(rf"-{WORD}")
 _INITIAL_AFTER_GIVEN = re.compile(r"\s[^\W\d_]\.(?=[^\w]|$)")
 _INITIALS_BEFORE = re.compile(rf"(?:^|(?<=[^\w@./+-]))(?:[^\W\d_]\.[ -]?){{1,3}}(?<=[ .])\n?(?:{PARTICLES}\s){{0,2}}$", re.I)
 _INITIALS_AFTER = re.compile(r",\s(?:[^\W\d_]\.[\s-]?)*[^\W\d_]\.(?![\w])", re.I)
@@ -381,19 +394,30 @@ def _tail(text: str, end: int, lexicon: Lexicon) -> int:
     return end
 
 
+def _word_ends(text: str, end: int) -> list[int]:
+    return [m.end() + end for m in re.finditer(r"(?<=\w)(?=\W|$)", text[end : end + 60])][:7]
+
+
+def _phrase(text: str, start: int, stop: int) -> str:
+    return fold(" ".join(text[start:stop].split()))
+
+
 def _street_end(text: str, start: int, end: int, lexicon: Lexicon) -> int | None:
     """Where a street that begins with its type ends: at the longest known phrase, else after its first name."""
-    ends = [m.end() + end for m in re.finditer(r"(?<=\w)(?=\W|$)", text[end : end + 60])][:7]
-    for stop in reversed(ends):
-        if fold(" ".join(text[start:stop].split())) in lexicon.phrases:
+    for stop in reversed(_word_ends(text, end)):
+        if _phrase(text, start, stop) in lexicon.phrases:
             return stop
     m = _REST_OF_STREET.match(text, end)
     return m.end() if m else None
 
 
+def _bare(word: str) -> str:
+    return re.sub(r"['’]s$", "", word, flags=re.I)
+
+
 def _known_family(word: str, lexicon: Lexicon) -> str | None:
     """The part of the word that is a family name: all of it, or a compound of known ones."""
-    word = re.sub(r"['’]s$", "", word, flags=re.I)
+    word = _bare(word)
     parts = word.split("-")
     if fold(word) in lexicon.family or any(fold(p) in lexicon.family or lexicon.like_family(p) for p in parts):
         return word
@@ -404,16 +428,77 @@ def _in_context(text: str, start: int, lexicon: Lexicon) -> bool:
     return any(p in lexicon.contexts for p in left_of(text, start))
 
 
-def learned_finds(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of names and addresses that the lexicon leads to."""
-    low = lower_same_length(text)
+def _hits(text: str, low: str, lexicon: Lexicon) -> Iterator[tuple[int, int, str, str, frozenset[str]]]:
+    """(start, end, sign before, sign after, kinds) of the lexicon's forms that stand as words."""
     n = len(text)
-    spans: set[tuple[str, int, int]] = set()
-    for last, (size, kinds) in lexicon.machine.iter(low):
+    for last, (size, kinds) in lexicon.machine.iter(low) if not lexicon.empty else ():
         start, end = last - size + 1, last + 1
         before, after = text[start - 1] if start else " ", text[end] if end < n else " "
         if before.isalnum() or before in "@_/+" or ((after.isalnum() or after in "_@") and low[last] != "/"):
             continue
+        yield start, end, before, after, kinds
+
+
+def asked(text: str, lexicon: Lexicon) -> set[tuple[str, str]]:
+    """Facts of a block's forms in the text, and all that ``learned_finds`` could ask of the whole lexicon on meeting them."""
+    low = lower_same_length(text)
+    out: set[tuple[str, str]] = set()
+
+    def family(word: str) -> None:
+        word = _bare(word)
+        out.add(("family", fold(word)))
+        out.update((kind, fold(p)) for p in word.split("-") for kind in ("family", "like"))
+
+    def context(at: int) -> None:
+        out.update(("context", p) for p in left_of(text, at))
+
+    def tail(end: int) -> None:
+        m = _TAIL_TOWN.match(text, end)
+        words = m.group("a") if m else ""
+        while words:
+            out.add(("town", fold(words)))
+            words = words.rpartition(" ")[0]
+
+    for start, end, _, _, kinds in _hits(text, low, lexicon):
+        out.update((f"form:{kind}", low[start:end]) for kind in kinds)
+        if "given" in kinds:
+            context(start)
+            for m in (_AFTER_GIVEN.match(text, end), _FAMILY_BEFORE.search(text, max(0, start - 60), start)):
+                if m:
+                    family(m.group("family"))
+        if "family" in kinds:
+            m = _COMPOUND.match(text, end)
+            if m:
+                family(m.group()[1:])
+            g = _GIVEN_BEFORE.search(text, max(0, start - 60), start)
+            if g:
+                out.add(("given", fold(g.group("given"))))
+                context(g.start())
+        if "street_last" in kinds:
+            tail(end)
+            tail(end + 1)
+        if "street_first" in kinds and _HOUSE_BEFORE.search(text, max(0, start - 40), start):
+            for stop in _word_ends(text, end):
+                out.add(("phrase", _phrase(text, start, stop)))
+                tail(stop)
+            m = _REST_OF_STREET.match(text, end)
+            if m:
+                tail(m.end())
+        if "street_full" in kinds:
+            m = _HOUSE_AFTER.match(text, end)
+            if m:
+                tail(m.end())
+    for m in _INITIALS_AND_NAME.finditer(text):
+        out.update(("like", fold(p)) for p in m.group(1).split("-"))
+    return out
+
+
+def learned_finds(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of names and addresses that the lexicon leads to."""
+    low = lower_same_length(text)
+    n = len(text)
+    spans: set[tuple[str, int, int]] = set()
+    for start, end, before, after, kinds in _hits(text, low, lexicon):
         if "given" in kinds and before not in ".-" and after not in "-+" and not (after == "." and end + 1 < n and text[end + 1].isalnum()):
             m = _AFTER_GIVEN.match(text, end)
             family = _known_family(m.group("family"), lexicon) if m else None
@@ -428,7 +513,7 @@ def learned_finds(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]
                     spans.add(("name", b.start(), i.end() if i else end))
         if "family" in kinds and before not in ".":
             whole = end
-            m = re.compile(rf"-{WORD}").match(text, end)
+            m = _COMPOUND.match(text, end)
             if m and _known_family(m.group()[1:], lexicon):
                 whole = m.end()
             if whole == n or not (text[whole] in "-@_+" or (text[whole] == "." and whole + 1 < n and text[whole + 1].isalnum())):
@@ -490,24 +575,84 @@ def learn(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return score_graph(graph_types(found))
 
 
-def lexicon_blocks(found: DataFrame, scores: DataFrame, patterns: DataFrame, most: int = BLOCK) -> Iterator[list[tuple[str, str]]]:
-    """Learned entries in blocks of bounded size."""
+def lexicon(found: DataFrame, scores: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(kind, value) of all that was learned."""
     known = accepted(scores.filter("kind IN ('given', 'family', 'street')")).select("kind", F.col("instance").alias("value"))
     towns = found.filter("kind = 'town'").select("kind", F.col("instance").alias("value")).distinct()
     contexts = patterns.filter((F.col("kind") == "given") & (F.col("p_score") >= CONFIDENT) & (F.col("n_instances") >= 5) & ~F.contains("pattern", F.lit(" _ "))).select(F.lit("context").alias("kind"), F.col("pattern").alias("value"))
-    every = materialise(known.unionByName(towns).unionByName(contexts), "lexicon")
-    total = every.count()
+    return materialise(known.unionByName(towns).unionByName(contexts), "lexicon")
+
+
+def lexicon_blocks(entries: DataFrame, most: int = BLOCK) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """(whether it is all, entries): the lexicon where it is small, else what is searched for in it, in blocks of bounded size."""
+    total = entries.count()
     if total <= most:
-        yield [tuple(r) for r in every.collect()]
+        yield True, [tuple(r) for r in entries.collect()]
         return
-    # larger: given names, contexts and streets in slices, each with the slices of family names and towns
-    slices = -(-2 * total // most)
-    lead, rest = every.filter("kind NOT IN ('family', 'town')"), every.filter("kind IN ('family', 'town')")
-    cut = lambda df, i: [tuple(r) for r in df.filter(F.pmod(F.xxhash64("value"), F.lit(slices)) == i).collect()]
+    searched = entries.filter("kind IN ('given', 'family') OR (kind = 'street' AND value NOT LIKE 'phrase:%')")
+    slices = max(1, -(-2 * searched.count() // most))
     for i in range(slices):
-        some = cut(lead, i)
-        for k in range(slices):
-            yield some + cut(rest, k)
+        yield False, [tuple(r) for r in searched.filter(F.pmod(F.xxhash64("value"), F.lit(slices)) == i).collect()]
+
+
+def _asked_batches(entries: list[tuple[str, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Lexicon(entries)
+        for batch in batches:
+            rows = [(doc_id, *a) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for a in asked(text, block)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.string(), pa.string()], strict=True)], names=["doc_id", "kind", "key"])
+
+    return run
+
+
+def _fact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [f for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in facts_of(*e) if not f[0].startswith("form:")]
+        yield pa.record_batch([pa.array([f[i] for f in rows], pa.string()) for i in (0, 1)], names=["kind", "key"])
+
+
+def _answered_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, facts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            own = Lexicon([], [(f["kind"], f["key"]) for f in facts])
+            rows += [(doc_id, kind, text[a:b], a) for kind, a, b in learned_finds(text, own)]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.string(), pa.string(), pa.int32()], strict=True)], names=["doc_id", "kind", "found_text", "start"])
+
+
+def like_family_words(words: DataFrame, family: DataFrame) -> DataFrame:
+    """Of the words (key) those that ``Lexicon.like_family`` takes, by the folded family names (key)."""
+    cut = F.explode(F.expr("CASE WHEN length(key) > 5 THEN sequence(3, length(key) - 3) END")).alias("k")
+    head, tail = F.expr("substring(key, 1, k)").alias("head"), F.expr("substring(key, k + 1)").alias("tail")
+    longest = family.agg(F.coalesce(F.max(F.length("key")), F.lit(0)).alias("most"))
+    parts = family.select("key").distinct().select("key", cut).select(head, tail)
+    shared = lambda part: parts.groupBy(part).count().filter("count >= 3").select(part)
+    # no part is longer than the longest name
+    short = words.select("key").distinct().join(F.broadcast(longest), F.length("key") <= 2 * F.col("most")).select("key", cut).select("key", head, tail)
+    return short.join(shared("head"), "head", "left_semi").join(shared("tail"), "tail", "left_semi").select("key").distinct()
+
+
+def asked_finds(docs: DataFrame, entries: DataFrame, questions: DataFrame) -> DataFrame:
+    """What the whole lexicon leads to in texts of which (doc_id, kind, key) says what they ask of it."""
+    facts = materialise(entries.mapInArrow(_fact_batches, "kind string, key string").distinct(), "facts")
+    like = like_family_words(questions.filter("kind = 'like'"), facts.filter("kind = 'family'")).select(F.lit("like").alias("kind"), "key")
+    is_form = F.col("kind").startswith("form:")
+    true = questions.filter(is_form).unionByName(questions.filter(~is_form).join(facts.unionByName(like), ["kind", "key"], "left_semi").select("doc_id", "kind", "key"))
+    own = true.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "key")).alias("facts"))
+    return docs.filter("text <> ''").join(own, "doc_id").select("doc_id", "text", "facts").mapInArrow(_answered_batches, FINDS)
+
+
+def lexicon_finds(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, kind, found_text, start) of what the lexicon leads to; blocks change nothing about it."""
+    questions = None
+    for whole, block in lexicon_blocks(entries):
+        if whole:
+            return docs.mapInArrow(_learned_batches(block), FINDS)
+        some = materialise(docs.mapInArrow(_asked_batches(block), "doc_id long, kind string, key string"), "asked")
+        questions = some if questions is None else questions.unionByName(some)
+    return asked_finds(docs, entries, questions)
 
 
 def finds(docs: DataFrame) -> DataFrame:
@@ -516,9 +661,7 @@ def finds(docs: DataFrame) -> DataFrame:
     found = find_mentions(docs)
     scores, patterns = learn(found)
     out = found.filter("kind = 'email'").select("doc_id", "kind", "found_text", "start").unionByName(number_finds(found, scores, patterns))
-    for block in lexicon_blocks(found, scores, patterns):
-        out = out.unionByName(docs.mapInArrow(_learned_batches(block), FINDS))
-    return out
+    return out.unionByName(lexicon_finds(docs, lexicon(found, scores, patterns)))
 
 
 def distinct_finds(docs: DataFrame) -> DataFrame:

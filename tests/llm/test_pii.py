@@ -102,3 +102,32 @@ def test_lexicon_in_blocks_finds_the_same(spark, found, monkeypatch):
     monkeypatch.setattr(pii.lexicon_blocks, "__defaults__", (14,))
     got = {(r.doc_id, r.kind, r.found_text) for r in pii.distinct_finds(docs).collect()}
     assert {x for x in got if x[1] != "name"} <= whole and {x for x in whole if x[1] == "phone"} <= got
+
+
+def test_lexicon_in_blocks_finds_all(spark, found, monkeypatch):
+    docs, whole = found
+    for most in (14, 3):
+        monkeypatch.setattr(pii.lexicon_blocks, "__defaults__", (most,))
+        assert {(r.doc_id, r.kind, r.found_text) for r in pii.distinct_finds(docs).collect()} == whole
+
+
+def test_blocks_decide_jointly(spark, monkeypatch):
+    texts = [
+        "Reviewed by Odalys Unheard. And by Unheard Hartwell too",
+        "Send it to 12 rue des Lilas Blancs du Nord, Northam Vale. Thanks",
+        "See J. Stonebridge and Petronella Brackbridge-Hartwell, Hartwell-Stonebridge, P., Hartwell, Odalys X.",
+        "At 4 Old Mill Lane., Northam and Calle del Sol, 4, 2.º B, Northam Vale",
+        "",
+    ]
+    entries = [("given", "odalys"), ("given", "petronella"), ("context", "l1:by"), ("town", "northam"), ("town", "northam vale")]
+    entries += [("family", a + b) for a in ("brack", "stone", "hart") for b in ("well", "field", "bridge") if a + b != "stonebridge" and a + b != "brackbridge"]
+    entries += [("family", x) for x in ("brackwater", "stonewater", "mapbridge", "oakbridge")]
+    entries += [("street", x) for x in ("first:rue", "phrase:rue des lilas blancs du nord", "last:lane", "full:calle del sol")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = spark.createDataFrame(entries, "kind string, value string")
+    whole = sorted(map(tuple, pii.lexicon_finds(docs, learned).collect()))
+    found = {x[2] for x in whole}
+    assert {"Odalys Unheard", "Unheard Hartwell", "12 rue des Lilas Blancs du Nord, Northam Vale", "J. Stonebridge", "Petronella Brackbridge-Hartwell", "Calle del Sol, 4, 2.º B, Northam Vale"} <= found
+    for most in (1, 5, 16):
+        monkeypatch.setattr(pii.lexicon_blocks, "__defaults__", (most,))
+        assert sorted(map(tuple, pii.lexicon_finds(docs, learned).collect())) == whole
