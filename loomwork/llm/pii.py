@@ -53,7 +53,7 @@ CONFIDENT = 0.8
 ANNOUNCED = 0.15
 #: A telephone or identity number has at most so many digits, in so many groups.
 DIGITS, GROUPS = 15, 7
-MENTIONS = "doc_id long, kind string, found_text string, start int, part int, instance string, patterns array<string>, seed int, run int"
+MENTIONS = "doc_id long, kind string, found_text string, start int, part int, instance string, patterns array<string>, seed int, run int, before array<string>"
 FINDS = "doc_id long, kind string, found_text string, start int"
 
 #: Shapes (digits as 9, letters as A) that are telephone or identity numbers and nothing else; fixed values.
@@ -111,6 +111,15 @@ def left_of(text: str, at: int) -> list[str]:
     return out
 
 
+def announced_by(text: str, at: int) -> list[str]:
+    """Left patterns of a number; where it begins a line, those of the end of the line before."""
+    begin = max(0, at - 40)
+    head = text[begin:at].rstrip(" \t")
+    if head.endswith("\n"):
+        at = begin + len(head[:-1].removesuffix("\r"))
+    return informative(left_of(text, at))
+
+
 def right_of(text: str, at: int) -> str:
     after = text[at : at + 24]
     word = _WORDS.search(after)
@@ -184,11 +193,11 @@ def number_runs(start: int, text: str) -> Iterator[tuple[int, str, int]]:
                 yield start + a, text[a:b], 2
 
 
-def mentions(text: str) -> Iterator[tuple[str, str, int, int, str, list[str], int, int]]:
-    """(kind, found text, start, part, instance, patterns, seed, run) of all that could be personal data."""
+def mentions(text: str) -> Iterator[tuple[str, str, int, int, str, list[str], int, int, list[str]]]:
+    """(kind, found text, start, part, instance, patterns, seed, run, words before a number) of all that could be personal data."""
     found = list(emails(text))
     for at, address in found:
-        yield "email", address, at, 0, "", [], 1, at
+        yield "email", address, at, 0, "", [], 1, at, []
     near = {}
     for at, address in found:  # the names just before an address
         local = re.split(_AT + r"|\s(?:at|AT)\s", address)[0]
@@ -200,10 +209,12 @@ def mentions(text: str) -> Iterator[tuple[str, str, int, int, str, list[str], in
         key = f"{m.group(1).lower()}|{m.group(2).lower()}"
         left, right = left_of(text, m.start())[0], right_of(text, m.end())
         both = [left + " _ " + right[2:]] if informative([left]) and informative([right]) else []
-        yield "name", m.group(), m.start(), 0, key, [*both, *informative([left])], near.get(m.start(), 0), m.start()
+        yield "name", m.group(), m.start(), 0, key, [*both, *informative([left])], near.get(m.start(), 0), m.start(), []
     for m in NUMBER.finditer(text):
         for at, piece, part in number_runs(m.start(), m.group()):
-            yield "number", piece, at, part, shape_of(piece), informative([*left_of(text, at), right_of(text, at + len(piece))]) if part < 2 else [], 0, m.start()
+            shape = shape_of(piece)
+            # shorter runs and those over a line end stay out of the graph, but words can announce them
+            yield "number", piece, at, part, shape, informative([*left_of(text, at), right_of(text, at + len(piece))]) if part < 2 else [], 0, m.start(), [] if "A" in shape else announced_by(text, at)
     taken = set()
     for code in POSTCODE.finditer(text):
         begin, end = max(0, code.start() - 110), min(len(text), code.end() + 40)
@@ -217,18 +228,18 @@ def mentions(text: str) -> Iterator[tuple[str, str, int, int, str, list[str], in
                 taken.add(m.start())
                 left = left_of(text, m.start())
                 key = street_key(street, first)
-                yield "street", m.group(), m.start(), 0, key, informative(left), 1, m.start()
+                yield "street", m.group(), m.start(), 0, key, informative(left), 1, m.start(), []
                 if key.startswith("first:"):
-                    yield "street", m.group(), m.start(), 0, "phrase:" + " ".join(street.split()).lower(), informative(left), 1, m.start()
-                yield "town", town, m.start(), 0, town.lower(), [], 1, m.start()
+                    yield "street", m.group(), m.start(), 0, "phrase:" + " ".join(street.split()).lower(), informative(left), 1, m.start(), []
+                yield "town", town, m.start(), 0, town.lower(), [], 1, m.start(), []
     for m in _CAPS_BESIDE.finditer(text):
         if m.start() not in taken:
-            yield "street", m.group(), m.start(), 0, street_key(m.group(1).rstrip("."), True), informative(left_of(text, m.start())), 0, m.start()
+            yield "street", m.group(), m.start(), 0, street_key(m.group(1).rstrip("."), True), informative(left_of(text, m.start())), 0, m.start(), []
 
 
 def _mention_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in MENTIONS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.list_(pa.string())]
     for batch in batches:
         rows = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for m in mentions(text)]
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
@@ -287,14 +298,15 @@ def number_finds(found: DataFrame, scores: DataFrame, patterns: DataFrame) -> Da
     """Numbers of accepted shapes, of two kinds the one of higher score; of overlapping runs the longer.
 
     A shape of digits only that no seed vouches for is an identity number only
-    where a word announces it: plain groups of digits stand in many a list.
+    where a word announces it, on its line or at the end of the line before:
+    plain groups of digits stand in many a list.
     """
     best = accepted(scores.filter("kind IN ('phone', 'id_number')")).join(scores.select("kind", "instance", "seed"), ["kind", "instance"]).groupBy("instance").agg(F.max(F.struct("score", "kind", "seed")).alias("b")).select("instance", F.col("b.kind").alias("as_kind"), ((F.col("b.seed") > 0) | F.col("instance").contains("A")).cast("int").alias("sure"))
-    hits = found.filter("kind = 'number'").select("doc_id", "run", "found_text", "start", "instance", "patterns").join(best, "instance").withColumn("end", F.col("start") + F.length("found_text"))
+    hits = found.filter("kind = 'number'").select("doc_id", "run", "found_text", "start", "instance", "before").join(best, "instance").withColumn("end", F.col("start") + F.length("found_text"))
     hits = materialise(hits.dropDuplicates(["doc_id", "start", "end"]), "number-hits")
     plain = hits.filter((F.col("as_kind") == "phone") | (F.col("sure") > 0))
     announcing = patterns.filter((F.col("kind") == "id_number") & (F.col("p_score") >= ANNOUNCED) & F.col("pattern").startswith("l")).select("pattern")
-    told = hits.filter((F.col("as_kind") == "id_number") & (F.col("sure") == 0)).withColumn("pattern", F.explode("patterns")).join(announcing, "pattern", "left_semi").drop("pattern").distinct()
+    told = hits.filter((F.col("as_kind") == "id_number") & (F.col("sure") == 0)).withColumn("pattern", F.explode("before")).join(announcing, "pattern", "left_semi").drop("pattern").distinct()
     cols = ["doc_id", "run", "found_text", "start", "end", "as_kind"]
     hits = materialise(plain.select(cols).unionByName(told.select(cols)), "number-kept")
     o = hits.select(F.col("doc_id").alias("_d"), F.col("run").alias("_r"), F.col("start").alias("_s"), F.col("end").alias("_e"))

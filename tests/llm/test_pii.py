@@ -131,3 +131,12 @@ def test_blocks_decide_jointly(spark, monkeypatch):
     for most in (1, 5, 16):
         monkeypatch.setattr(pii.lexicon_blocks, "__defaults__", (most,))
         assert sorted(map(tuple, pii.lexicon_finds(docs, learned).collect())) == whole
+
+
+def test_announced_numbers_over_line_ends_and_beside_others(spark):
+    texts = ["the SSN 921 08\n0116 is old", "SSN 921 08 0116 3 rows", "her SSN\r\n  921 08 0116\n", "SSN\n\n921 08 0116", "rows 921 08 0116 3", "SSN 3 921 08 0116"]
+    mentions = pii.find_mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    scores = spark.createDataFrame([("id_number", "999 99 9999", 0.5, 0, 4)], "kind string, instance string, score double, seed int, breadth long")
+    patterns = spark.createDataFrame([("id_number", "l1:ssn", 0.5, 4)], "kind string, pattern string, p_score double, n_instances long")
+    got = {(r.doc_id, r.found_text) for r in pii.number_finds(mentions, scores, patterns).collect()}
+    assert got == {(0, "921 08\n0116"), (1, "921 08 0116"), (2, "921 08 0116")}
