@@ -235,10 +235,34 @@ def canonical_names(found: DataFrame, schemas: DataFrame) -> dict[str, str]:
 _SPARK = {"integer": T.LongType(), "decimal": T.DoubleType(), "boolean": T.BooleanType()}
 
 
+def value_kinds(df: DataFrame) -> DataFrame:
+    """(field, kind) of every value of every record; integers of more than 53 bits are ``long``, of more than 64 ``huge``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for text in batch.column(0).to_pylist():
+                record = parse_object(text) if text else None
+                for field, value in flat(record or {}):
+                    kind = kind_of(value)
+                    if kind == "integer" and not -(2**53) <= value <= 2**53:
+                        kind = "long" if -(2**63) <= value < 2**63 else "huge"
+                    if kind:
+                        seen.add((field.encode("utf-8", "replace").decode(), kind))
+            yield pa.record_batch([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], names=["field", "kind"])
+
+    return df.select("record_json").mapInArrow(run, "field string, kind string").distinct()
+
+
 def target_type(kinds: set[str]) -> T.DataType:
-    """The narrowest type that holds all kinds; mixed ones and nested values are text."""
+    """The narrowest type that holds all kinds; mixed ones and nested values are text.
+
+    So are integers beyond 64 bits, and beside decimals those beyond 53 bits.
+    """
     if kinds == {"integer", "decimal"}:
         return T.DoubleType()
+    if kinds <= {"integer", "long"} and kinds:
+        return T.LongType()
     return _SPARK[next(iter(kinds))] if len(kinds) == 1 and kinds <= set(_SPARK) else T.StringType()
 
 
@@ -246,7 +270,7 @@ def _cast(value: object, kind: T.DataType):
     if value is None:
         return None
     if isinstance(kind, T.LongType):
-        return value if isinstance(value, int) and -(2**63) <= value < 2**63 else None
+        return value
     if isinstance(kind, T.DoubleType):
         return float(value)
     if isinstance(kind, T.BooleanType):
@@ -264,7 +288,7 @@ def unify(df: DataFrame) -> DataFrame:
     schemas = materialise(file_schemas(df), "schemas")
     names = canonical_names(found, schemas)
     kinds: dict[str, set[str]] = defaultdict(set)
-    for r in schemas.select(F.explode("schema").alias("f")).select("f.*").distinct().collect():
+    for r in value_kinds(df).collect():
         kinds[names.get(r["field"], r["field"])].add(r["kind"])
     wanted = sorted(kinds)
     types = [target_type(kinds[f]) for f in wanted]

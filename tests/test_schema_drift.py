@@ -60,3 +60,14 @@ def test_unified_table_follows_renames(spark):
 def test_flooding_prefers_the_like(spark):
     scores = sd.flood([("tokens_in", "integer"), ("size", "integer")], [("tokens_inp", "integer"), ("weight", "integer")])
     assert scores["tokens_in", "tokens_inp"] > scores["tokens_in", "weight"]
+
+
+def test_unified_types_hold_every_value(spark):
+    records = [{"a": 1, "b": 2**53 + 1, "c": 5, "d": 1}, {"a": 2**64, "b": -(2**63), "c": 0.5, "d": 2}, {"a": -(2**63) - 1, "b": 0, "c": 2**53 + 1, "d": "x"}]
+    files = [(1, "s", 1, records), (None, "s", 2, [{"only": 7}])]
+    got = sd.unify(table(spark, files))
+    rows = {(r.file_id, r.line_no): r for r in got.collect()}
+    assert [rows[1, k].a for k in range(3)] == ["1", str(2**64), str(-(2**63) - 1)]
+    assert [rows[1, k].b for k in range(3)] == [2**53 + 1, -(2**63), 0] and dict(got.dtypes)["b"] == "bigint"
+    assert [rows[1, k].c for k in range(3)] == ["5", "0.5", str(2**53 + 1)]
+    assert [rows[1, k].d for k in range(3)] == ["1", "2", "x"] and rows[None, 0].only == 7
