@@ -156,4 +156,5 @@ def copies(df: DataFrame) -> DataFrame:
 
 def distinct_records(df: DataFrame) -> DataFrame:
     """One row per record: the smallest row_id, its number of copies, its digest in hex."""
-    return copy_groups(hashed_records(df)).select("first_row_id", "n_copies", F.lower(F.hex("digest")).alias("digest"))
+    # by the whole structure too: equal digests of different ones are different records
+    return hashed_records(df).groupBy("digest", "form").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n_copies")).select("first_row_id", "n_copies", F.lower(F.hex("digest")).alias("digest"))

@@ -99,3 +99,9 @@ def test_empty_long_and_odd_rows(spark):
     rows = [(2, "", long), (1, "!", long.upper()), (3, None, "{}"), (4, None, "{ }"), (4, None, "{}")]
     got = sorted(tuple(r) for r in merkle.copies(table(spark, rows)).collect())
     assert set(got) == {(1, 2), (3, 4)}
+
+
+def test_equal_digests_of_different_structures_are_two_records(spark, monkeypatch):
+    hashed = spark.createDataFrame([(1, b"d", "x"), (2, b"d", "y"), (3, b"d", "x")], merkle.SCHEMA)
+    monkeypatch.setattr(merkle, "hashed_records", lambda df: df)
+    assert {(r.first_row_id, r.n_copies, r.digest) for r in merkle.distinct_records(hashed).collect()} == {(1, 2, "64"), (2, 1, "64")}
