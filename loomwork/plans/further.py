@@ -108,12 +108,19 @@ def c05_scopes(s, d):
 
 
 def c12_trace(s, d):
-    """State after each line of an order, as text."""
+    """What an order holds after its last line, and the number of its lines; ``c12_states`` has the states between."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
     li = t(s, d, "lineitem").withColumn("q", F.sum("l_quantity").over(w).cast("long"))
     return li.groupBy("l_orderkey").agg(F.max("q").alias("held"), F.count("*").alias("steps"))
 
 
+def c12_states(s, d):
+    """State after each line of an order, as number and as text."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    li = t(s, d, "lineitem").select("l_orderkey", F.count("*").over(w).alias("step"), F.sum("l_quantity").over(w).cast("long").alias("held"))
+    return li.withColumn("state", F.concat(F.lit("after line "), F.col("step").cast("string"), F.lit(": "), F.coalesce(F.col("held").cast("string"), F.lit("nothing")), F.lit(" held")))
+
+
 # grammars
 def l06_completions(s, d):
     """Sentences of the bracket grammar of at most four signs."""
@@ -289,6 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "t14_mentions": "SELECT event_id, CASE WHEN lag(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) = user_id THEN 'they' ELSE 'user ' || user_id END AS np FROM events",
         "c05_scopes": "SELECT i AS a, j AS b FROM range(16) a(i), range(16) b(j) WHERE (i % 4 < 3 AND j = i + 1) OR j = i + 4",
         "c12_trace": "SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS held, count(*) AS steps FROM lineitem GROUP BY 1",
+        "c12_states": "SELECT *, 'after line ' || step || ': ' || coalesce(CAST(held AS VARCHAR), 'nothing') || ' held' AS state FROM (SELECT l_orderkey, count(*) OVER w AS step, CAST(sum(l_quantity) OVER w AS BIGINT) AS held FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))",
         "l06_completions": "SELECT * FROM (VALUES ('x'), ('()'), ('xx'), ('(x)'), ('x()'), ('()x'), ('xxx'), ('xxxx'), ('(())'), ('()()'), ('(xx)'), ('(x)x'), ('x(x)'), ('xx()'), ('x()x'), ('()xx')) v(text)",
         "l09_continuation": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '(|x|STOP' ELSE '(|)|x' END AS next FROM nation",
         "l12_corrupt": "SELECT n_nationkey, true AS good_ok, false AS bad_ok FROM nation",

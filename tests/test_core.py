@@ -89,3 +89,10 @@ def test_grammar_and_automata():
     assert grammar.parses(grammar.AMBIGUOUS, "E", list("n+n+n")) == 2
     assert automata.witness("(a|b)*", "(a*b*)*") is None and automata.witness("a?b?", "(a|b)?") == "ab"
     assert apply_diff(["a", "b"], "@@ -1,2 +1,2 @@\n a\n-b\n+c") == ["a", "c"]
+
+
+def test_every_state_of_an_order(spark, tmp_path):
+    rows = [(1, 1, 5, 5, 3), (1, 2, 5, 5, 4), (2, 1, 6, 6, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.queries()["c12_states"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 3, "after line 1: 3 held"), (1, 2, 7, "after line 2: 7 held"), (2, 1, 1, "after line 1: 1 held")}
