@@ -95,11 +95,18 @@ def i05_blocklist(s, d):
 
 
 def i08_identity(s, d):
-    """Key of a file: twenty hex digits of the hash of path, size and time."""
+    """Key of a path and size: twenty hex digits of their hash; ``i08_version`` tells times apart too."""
     f = t(s, d, "landing").select("file_path", "size_bytes", "modified_at").distinct()
     return f.select("file_path", F.substring(F.md5(F.concat_ws("|", "file_path", F.coalesce(F.col("size_bytes").cast("string"), F.lit("-")))), 1, 20).alias("key")).distinct()
 
 
+def i08_version(s, d):
+    """Key of a file: twenty hex digits of the hash of path, size and time."""
+    f = t(s, d, "landing").select("file_path", "size_bytes", "modified_at").distinct()
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return f.select("file_path", F.substring(F.md5(F.concat_ws("|", text(F.col("file_path")), text(F.col("size_bytes")), text(F.unix_micros(F.col("modified_at").cast("timestamp"))))), 1, 20).alias("key")).distinct()
+
+
 def i09_validate(s, d):
     """Per file: lines that aren't blank, and the first that is no record."""
     lines = t(s, d, "landing").select("file_key", F.posexplode(F.split("file_body", "\n")).alias("pos", "line"))
@@ -247,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "i03_levels": "SELECT task, CAST(i AS INT) AS level FROM (SELECT DISTINCT task FROM eval_item), range(3) r(i) WHERE i <= CASE WHEN task = 'table_qa' THEN 1 ELSE 2 END",
         "i04_jsonl_sink": "SELECT count(*) AS n, count(DISTINCT row_id) AS ids, CAST(sum(length(metadata)) AS BIGINT) AS chars FROM problem_collected",
         "i05_blocklist": "SELECT task, count(*) AS n FROM problem_collected WHERE task IS NULL OR task NOT IN ('table_qa', 'navigation') GROUP BY 1",
+        "i08_version": "SELECT DISTINCT file_path, substr(md5(coalesce(file_path, '-') || '|' || coalesce(CAST(size_bytes AS VARCHAR), '-') || '|' || coalesce(CAST(epoch_us(modified_at) AS VARCHAR), '-')), 1, 20) AS key FROM landing",
         "i08_identity": "SELECT DISTINCT file_path, substr(md5(file_path || '|' || coalesce(CAST(size_bytes AS VARCHAR), '-')), 1, 20) AS key FROM landing",
         "i10_project": "SELECT level, count(*) AS n FROM problem_collected WHERE level IS NOT NULL GROUP BY 1",
         "i11_incremental": "SELECT DISTINCT file_key FROM landing WHERE file_key NOT IN (SELECT file_key FROM manifest)",

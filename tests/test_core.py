@@ -96,3 +96,10 @@ def test_every_state_of_an_order(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in registry.queries()["c12_states"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 3, "after line 1: 3 held"), (1, 2, 7, "after line 2: 7 held"), (2, 1, 1, "after line 1: 1 held")}
+
+
+def test_file_rewritten_with_the_same_size_has_two_keys(spark, tmp_path):
+    times = spark.sql("SELECT 'a' AS file_path, 5L AS size_bytes, explode(array(timestamp'2025-01-01 10:00:00', timestamp'2025-01-01 10:00:00.5', NULL)) AS modified_at")
+    times.unionByName(times).write.parquet(f"{tmp_path}/landing.parquet")
+    got = {r.key for r in registry.queries()["i08_version"](spark, str(tmp_path)).collect()}
+    assert len(got) == 3
