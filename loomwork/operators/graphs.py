@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 
 import pandas as pd
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from loomwork.scratch import materialise
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(u, v, hops): v can be reached from u; semi-naive, one step further a round, written every round."""
+def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(u, v, hops): v can be reached from u, in at most ``rounds`` steps if given; semi-naive, one step further a round, written every round."""
     front = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct()
     step = front.select(F.col("u").alias("v"), F.col("v").alias("w"))
     known = front.withColumn("hops", F.lit(1))
-    for i in range(2, rounds + 1):
+    for i in itertools.count(2) if rounds is None else range(2, rounds + 1):
         reached = front.join(step, "v").select("u", F.col("w").alias("v")).distinct()
         front = materialise(reached.join(known, ["u", "v"], "left_anti"), "closure")
         if front.isEmpty():
@@ -26,12 +27,12 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return known
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 32) -> DataFrame:
-    """(source, node, path): of the shortest paths the first in order, nodes as numbers in an array."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(source, node, path): of the shortest paths, of at most ``rounds`` steps if given, the first in order, nodes as numbers in an array."""
     step = edges.select(F.col("u").alias("node"), F.col("v").alias("next")).distinct()
     front = sources.select(F.col("node").alias("source"), "node").distinct().withColumn("path", F.array("node"))
     known = front
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         grown = front.join(step, "node").select("source", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         best = grown.groupBy("source", "node").agg(F.min("path").alias("path"))
         front = materialise(best.join(known.select("source", "node"), ["source", "node"], "left_anti"), "paths")

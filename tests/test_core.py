@@ -103,3 +103,11 @@ def test_file_rewritten_with_the_same_size_has_two_keys(spark, tmp_path):
     times.unionByName(times).write.parquet(f"{tmp_path}/landing.parquet")
     got = {r.key for r in registry.queries()["i08_version"](spark, str(tmp_path)).collect()}
     assert len(got) == 3
+
+
+def test_chains_longer_than_any_fixed_number_of_rounds(spark):
+    e = spark.range(67).selectExpr("id AS u", "id + 1 AS v").coalesce(1)
+    assert graphs.closure(e).count() == 67 * 68 // 2
+    assert graphs.closure(e, 2).count() == 67 + 66
+    paths = graphs.shortest_paths(e.filter("u < 35"), spark.sql("SELECT 0L AS node"))
+    assert paths.count() == 36 and paths.selectExpr("max(size(path))").first()[0] == 36
