@@ -10,15 +10,20 @@ reached from the states of its own prefixes without encoding anything again.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import regex
 import tiktoken
 
 #: Splits text into pieces before any merge; fixed by the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same for Java, whose \s knows ASCII only unless told otherwise.
-JAVA_PATTERN = "(?U)" + PATTERN
+_split_any = regex.compile(PATTERN).findall
+#: The same for ASCII text, for the faster matcher.
+_split_ascii = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+""").findall
+#: A piece always begins at a space that stands before another sign, whatever lies before it.
+split_chunks = re.compile(r" (?=\S)").split
 #: Where the public rank file lies; each function takes another path.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -31,6 +36,11 @@ def load(path: str) -> tuple[tiktoken.Encoding, dict[bytes, int], int]:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks, max(map(len, ranks))
 
 
+def split_pieces(text: str) -> list[str]:
+    """The pieces of a text; joined they are the text again."""
+    return _split_ascii(text) if text.isascii() else _split_any(text)
+
+
 class PrefixStates:
     """Token counts of sorted pieces, walking their trie depth first.
 
@@ -78,3 +88,49 @@ class PrefixStates:
     def counts(self, pieces: Iterable[str]) -> Iterator[int]:
         for piece in pieces:
             yield self.tokens(piece.encode("utf-8", "surrogatepass"))
+
+
+class Chunks:
+    """Numbers the stretches of text that lie between spaces; what a stretch consists of is worked out once.
+
+    No piece reaches over the border of two chunks, so a text is the sum of
+    its chunks.  ``describe`` gets the pieces of new chunks, each a list, and
+    is called once a batch.  Short chunks stay known until there are ``keep``
+    of them; then all are forgotten, which changes nothing but the time.
+    """
+
+    def __init__(self, describe: Callable[[list[list[str]]], None], forget: Callable[[], None], keep: int = 300_000) -> None:
+        self.describe, self.forget, self.keep = describe, forget, keep
+        self.heads: dict[str, int] = {}  # the first chunk of a text has no space before it
+        self.rest: dict[str, int] = {}
+
+    def number(self, texts: list[str | None]) -> list[list[int]]:
+        """The chunks of each text, by number."""
+        if len(self.heads) + len(self.rest) >= self.keep:
+            self.heads.clear()
+            self.rest.clear()
+            self.forget()
+        heads, rest, new, out = self.heads, self.rest, [], []
+        count = len(heads) + len(rest)
+        for text in texts:
+            if not text:
+                out.append([])
+                continue
+            first, *others = split_chunks(text)
+            if first and first not in heads:
+                heads[first] = count
+                count += 1
+                new.append(split_pieces(first))
+            try:
+                ids = list(map(rest.__getitem__, others))
+            except KeyError:
+                for chunk in set(others).difference(rest):
+                    rest[chunk] = count
+                    count += 1
+                    new.append(split_pieces(" " + chunk))
+                ids = list(map(rest.__getitem__, others))
+            if first:
+                ids.append(heads[first])
+            out.append(ids)
+        self.describe(new)
+        return out

@@ -1,16 +1,18 @@
 """Problem 5: tokens of every row under an existing tokenizer, and totals by slice.
 
-Each distinct text is split into pieces by the tokenizer's own pattern, inside
-the JVM.  The distinct pieces of the whole corpus are range-partitioned, so a
-task holds a stretch of their common prefix trie; it walks the stretch depth
-first and carries exact tokenization states along shared prefixes
-(``bpe.py``).  The counts at the terminals are joined back to the texts.
-
-Scale.  A text is tokenized once however often it is repeated.  The tries hold
-distinct pieces only, and range partitioning balances them whatever their
-first letters.  Frequent pieces would make a skewed join: those with more than
-1 / ``HOT_PARTS`` of all (text, piece) rows are at most ``HOT_PARTS`` many and
-are joined by broadcast, before anything is shuffled for the rest.
+The texts are partitioned, and each partition builds the prefix trie of its
+own distinct pieces batch by batch: the pieces no batch before has brought are
+sorted, so a walk over them is a depth-first walk of their trie, and the exact
+tokenization states of a prefix are carried along to all pieces that share it
+(``bpe.PrefixStates``).  The counts at the terminals are then joined to the
+texts of the batch by the numbers of their chunks (``bpe.Chunks``).
+
+Scale.  A row's tokens depend on its texts alone, so the tries are partitioned
+as the texts are and nothing is shuffled or broadcast: neither texts nor
+(text, piece) pairs leave the task.  A global trie would walk each distinct
+piece once, but would have to move all pairs of text and piece twice; the walk
+costs a hundredth of the splitting.  A frequent piece is only a frequent look
+up, so there are no hot keys.  What a task keeps between batches is bounded.
 
 Defined results.  Null and empty texts have 0 tokens.  Repeated rows are rows
 of the result each; totals give the tokens of all rows and of each distinct
@@ -25,71 +27,62 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.llm import bpe
-from loomwork.scratch import materialise
 
-HOT_PARTS = 16_384
 SLICES = ["source", "lang", "task", "level"]
+COUNTS = ["prompt_tokens", "completion_tokens"]
+
+
+class TextTokens:
+    """Token counts of texts, batch by batch, over the tries of their new pieces."""
+
+    def __init__(self, ranks: str = bpe.RANKS) -> None:
+        self.states = bpe.PrefixStates(ranks)
+        self.sizes: list[int] = []
+        self.chunks = bpe.Chunks(self._describe, self.sizes.clear)
+
+    def _describe(self, new: list[list[str]]) -> None:
+        distinct = sorted({piece for pieces in new for piece in pieces})
+        terminal = dict(zip(distinct, self.states.counts(distinct), strict=True))
+        self.sizes.extend(sum(map(terminal.__getitem__, pieces)) for pieces in new)
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        numbered = self.chunks.number(texts)
+        size = self.sizes.__getitem__
+        return [sum(map(size, ids)) for ids in numbered]
 
 
 def _text_key(name: str):
     return F.when(F.length(name) > 0, F.unhex(F.md5(F.col(name).cast("binary"))))
 
 
-def text_pieces(texts: DataFrame) -> DataFrame:
-    """(key, piece, n): how often each piece stands in each text."""
-    pieces = texts.select("key", F.explode(F.regexp_extract_all("text", F.lit(bpe.JAVA_PATTERN), F.lit(0))).alias("piece"))
-    return pieces.groupBy("key", "piece").agg(F.count("*").alias("n"))
-
+def row_tokens(df: DataFrame, ranks: str = bpe.RANKS, keys: bool = False) -> DataFrame:
+    """Every row's slice and tokens: row_id, source, lang, task, level, prompt_tokens, completion_tokens, tokens.
 
-def piece_tokens(pieces: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
-    """Adds ``tokens`` to distinct pieces: sorted stretches of their trie, walked one task each."""
+    With ``keys`` also digests of the two texts, as ``_p`` and ``_c``.
+    """
+    kept = ["row_id", *SLICES, *(["_p", "_c"] if keys else [])]
+    rows = df.select("row_id", *SLICES, *([_text_key("prompt").alias("_p"), _text_key("completion").alias("_c")] if keys else []), "prompt", "completion")
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, T.LongType()) for c in COUNTS]])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = bpe.PrefixStates(ranks)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = TextTokens(ranks)
         for batch in batches:
-            counts = pa.array(list(states.counts(batch.column(0).to_pylist())), pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(1), counts], names=["piece", "texts", "tokens"])
-
-    ranged = pieces.select("piece", "texts").repartitionByRange("piece").sortWithinPartitions("piece")
-    return ranged.mapInArrow(walk, "piece string, texts long, tokens long")
-
-
-def text_tokens(df: DataFrame, columns: list[str], ranks: str = bpe.RANKS) -> DataFrame:
-    """(key, tokens) of the distinct texts of some columns; the key is that of ``_text_key``."""
-    texts = None
-    for c in columns:
-        part = df.select(_text_key(c).alias("key"), F.col(c).alias("text")).filter("key IS NOT NULL")
-        texts = part if texts is None else texts.unionByName(part)
-    pairs = materialise(text_pieces(texts.groupBy("key").agg(F.first("text").alias("text"))), "pieces")
-    distinct = pairs.groupBy("piece").agg(F.count("*").alias("texts"))
-    known = materialise(piece_tokens(distinct, ranks), "piece-tokens")
-    total = known.agg(F.sum("texts")).first()[0] or 0
-    hot = known.filter(F.col("texts") > total / HOT_PARTS).select("piece", "tokens")
-    cold = known.filter(F.col("texts") <= total / HOT_PARTS).select("piece", "tokens")
-    tried = pairs.join(F.broadcast(hot), "piece", "left")
-    done = tried.filter("tokens IS NOT NULL").select("key", (F.col("n") * F.col("tokens")).alias("tokens"))
-    rest = tried.filter("tokens IS NULL").drop("tokens").join(cold, "piece").select("key", (F.col("n") * F.col("tokens")).alias("tokens"))
-    return done.unionByName(rest).groupBy("key").agg(F.sum("tokens").alias("tokens"))
-
-
-def row_tokens(df: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
-    """Every row's slice and tokens: row_id, source, lang, task, level, prompt_tokens, completion_tokens, tokens."""
-    counted = materialise(text_tokens(df, ["prompt", "completion"], ranks), "text-tokens")
-    rows = df.select("row_id", *SLICES, _text_key("prompt").alias("_p"), _text_key("completion").alias("_c"))
-    for key, name in (("_p", "prompt_tokens"), ("_c", "completion_tokens")):
-        rows = rows.join(counted.select(F.col("key").alias(key), F.col("tokens").alias(name)), key, "left")
-    filled = [F.coalesce(n, F.lit(0)).alias(n) for n in ("prompt_tokens", "completion_tokens")]
-    return rows.select("row_id", *SLICES, *filled, "_p", "_c").withColumn("tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+            n = len(kept)
+            counts = [pa.array(tokens.counts(batch.column(n + i).to_pylist()), pa.int64()) for i in range(2)]
+            yield pa.record_batch([*[batch.column(i) for i in range(n)], *counts], names=[*kept, *COUNTS])
+
+    return rows.mapInArrow(run, schema).withColumn("tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 
 def tokens_by_row(df: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
-    return row_tokens(df, ranks).drop("_p", "_c")
+    return row_tokens(df, ranks)
 
 
 def token_totals(df: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
     """Per slice: rows, tokens of all rows, and rows and tokens with repeated rows once."""
-    rows = row_tokens(df, ranks)
+    rows = row_tokens(df, ranks, keys=True)
     same = rows.groupBy("row_id", *SLICES, "_p", "_c").agg(F.count("*").alias("_n"), F.first("tokens").alias("tokens"))
     return same.groupBy(*SLICES).agg(F.sum("_n").alias("n_rows"), F.sum(F.col("tokens") * F.col("_n")).alias("tokens"), F.count("*").alias("distinct_rows"), F.sum("tokens").alias("distinct_tokens"))
