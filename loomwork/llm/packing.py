@@ -24,13 +24,11 @@ table gives no containers.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,38 +41,62 @@ SIZED = "doc_id long, area string, tokens long, terms array<int>, counts array<i
 PLACED = "container_kind string, capacity_tokens int, container_id string, fill long, doc_id long, piece int, first_token long, n_tokens long"
 
 
-def size_texts(df: DataFrame, area: str | None, ranks: str = bpe.RANKS, keep: int = 300_000) -> DataFrame:
+class Sizes:
+    """Tokens and terms of texts, batch by batch; a chunk between spaces is worked out once."""
+
+    def __init__(self, ranks: str) -> None:
+        self.encoding, _, _ = bpe.load(ranks)
+        self.chunks = bpe.Chunks(self._describe, self._forget)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, tuple[int, int]] = {}
+        self.tokens = np.empty(0, np.int64)
+        self.terms, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def _piece(self, piece: str) -> tuple[int, int]:
+        """Tokens and term of a piece; those of one sign or of digits are no terms."""
+        word = piece.strip().lower()
+        term = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF if len(word) > 1 and word.isalpha() else -1
+        self.pieces[piece] = known = len(self.encoding._encode_single_piece(piece.encode("utf-8", "surrogatepass"))), term
+        return known
+
+    def _describe(self, new: list[list[str]]) -> None:
+        seen, describe, tokens, terms, ends = self.pieces.get, self._piece, [], [], []
+        at = int(self.ends[-1])
+        for pieces in new:
+            total = 0
+            for p in pieces:
+                n, term = seen(p) or describe(p)
+                total += n
+                if term >= 0:
+                    terms.append(term)
+            tokens.append(total)
+            ends.append(at + len(terms))
+        self.tokens = np.concatenate([self.tokens, np.array(tokens, np.int64)])
+        self.terms = np.concatenate([self.terms, np.array(terms, np.int64)])
+        self.ends = np.concatenate([self.ends, np.array(ends, np.int64)])
+
+    def sizes(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(tokens, terms, their counts) of each text."""
+        for ids in self.chunks.number(texts):
+            own = np.array(ids, np.int64)
+            begin, n = self.ends[own], self.ends[own + 1] - self.ends[own]
+            where = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(own) else own
+            terms, counts = np.unique(self.terms[where], return_counts=True)
+            yield int(self.tokens[own].sum()), terms, counts
+
+
+def size_texts(df: DataFrame, area: str | None, ranks: str = bpe.RANKS) -> DataFrame:
     """(doc_id, area, tokens, terms, counts) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, _, _ = bpe.load(ranks)
-        split = regex.compile(bpe.PATTERN).findall
-        known: dict[str, tuple[int, int]] = {}
+        sizes = Sizes(ranks)
         for batch in batches:
-            sizes, term_at, terms, counts = [], [0], [], []
-            for text in batch.column(2).to_pylist():
-                total, own = 0, {}
-                for piece, n in Counter(split(text or "")).items():
-                    seen = known.get(piece)
-                    if seen is None:
-                        word = piece.strip().lower()
-                        raw = piece.encode("utf-8", "surrogatepass")
-                        # pieces of one sign or of digits are no terms
-                        term = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF if len(word) > 1 and word.isalpha() else -1
-                        seen = len(encoding._encode_single_piece(raw)), term
-                        if len(known) >= keep:
-                            known.clear()
-                        known[piece] = seen
-                    total += n * seen[0]
-                    if seen[1] >= 0:
-                        own[seen[1]] = own.get(seen[1], 0) + n
-                sizes.append(total)
-                terms.extend(own)
-                counts.extend(own.values())
-                term_at.append(len(terms))
-            at = pa.array(term_at, pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (terms, counts)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "area", "tokens", "terms", "counts"])
+            rows = list(sizes.sizes(batch.column(2).to_pylist()))
+            at = pa.array(np.concatenate([[0], np.cumsum([len(t) for _, t, _ in rows])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.empty(0, np.int64), *[r[i] for r in rows]]).astype(np.int32))) for i in (1, 2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), *lists], names=["doc_id", "area", "tokens", "terms", "counts"])
 
     domain = F.col(area).cast("string") if area else F.lit(None).cast("string")
     return df.select("doc_id", domain.alias("area"), "text").mapInArrow(run, SIZED)
