@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,3 +60,24 @@ def _last_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
 def running_state(events: DataFrame) -> DataFrame:
     """Per user the number of events so far and the type of the latest, kept as state between batches."""
     return events.groupBy("user_id").applyInPandasWithState(_last_state, "user_id long, n long, last_type string", "n long, last_type string, event_id long", "update", GroupStateTimeout.NoTimeout)
+
+
+def sliding_counts(events: DataFrame, width: str = "1 day", step: str = "6 hours") -> DataFrame:
+    """Events per type and window, windows of ``width`` that begin every ``step``."""
+    w = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("begin"), "event_type", "n")
+
+
+def late_and_counted(spark: SparkSession, sf_dir: str, wave: int = 500, delay: str = "INTERVAL 2 DAYS") -> DataFrame:
+    """(day, late, n): events that arrive in waves; those behind the mark of the waves before are late, and kept as such.
+
+    A watermark only drops late rows.  Here the mark of each wave is known
+    from the greatest time of the waves before it, so late rows are routed to
+    counts of their own and none is lost.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("wave", F.floor(F.col("event_id") / wave))
+    top = events.groupBy("wave").agg(F.max("ts").alias("top"))
+    # one row per wave
+    mark = top.select("wave", (F.max("top").over(Window.orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)) - F.expr(delay)).alias("mark"))
+    routed = events.join(F.broadcast(mark), "wave").withColumn("late", F.coalesce(F.col("ts") < F.col("mark"), F.lit(False)))
+    return routed.groupBy(F.date_trunc("day", "ts").alias("day"), "late").agg(F.count("*").alias("n"))
