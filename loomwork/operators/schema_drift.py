@@ -26,7 +26,6 @@ unified table.  An empty table has no changes.
 
 from __future__ import annotations
 
-import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.scratch import materialise
-from loomwork.sources.jsonl import parse_object
+from loomwork.sources.jsonl import dump, parse_object
 
 FIELDS = "file_id long, field string, kind string, n long"
 SCHEMA = "array<struct<field string, kind string>>"
@@ -129,38 +128,43 @@ def likeness(a: str, b: str) -> float:
 
 
 def _graph(schema: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
-    """Edges (from, label, to) of a schema."""
+    """Edges (from, label, to) of a schema; a field's edge from its place bears its type as label."""
     edges = [("/", "part", "/top")]
     if any(f.startswith(INNER) for f, _ in schema):
         edges.append(("/", "part", "/inner"))
     for field, kind in schema:
-        edges.append(("/inner" if field.startswith(INNER) else "/top", "field", f"f:{field}"))
+        edges.append(("/inner" if field.startswith(INNER) else "/top", kind, f"f:{field}"))
         edges.append((f"f:{field}", "type", f"t:{kind}"))
     return edges
 
 
 def flood(old: list[tuple[str, str]], new: list[tuple[str, str]], rounds: int = 60, settled: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Scores of pairs of fields after similarity flooding."""
-    flows: dict = defaultdict(list)
-    by_label: dict = defaultdict(lambda: ([], []))
-    for side, schema in enumerate((old, new)):
+    """Scores of pairs of fields after similarity flooding.
+
+    The propagation graph holds the pairs of nodes that equal labels lead to
+    from a pair that is in it, beginning with the two roots; only they ever
+    get a score.
+    """
+    out = [defaultdict(list), defaultdict(list)]
+    for side, schema in zip(out, (old, new), strict=True):
         for a, label, b in _graph(schema):
-            by_label[label][side].append((a, b))
-    kinds = dict(old), dict(new)
-
-    def alike(a: str, b: str) -> bool:  # only nodes of one sort are paired
-        if a[0] != b[0] or (a[0] in "/t" and a != b):
-            return False
-        return a[0] != "f" or (kinds[0][a[2:]] == kinds[1][b[2:]] and a.startswith("f:" + INNER) == b.startswith("f:" + INNER))
-
-    pairs = set()
-    for label, (left, right) in by_label.items():
-        here = [((a, c), (b, d)) for a, b in left for c, d in right if alike(a, c) and alike(b, d)]
-        out, into = Counter(x for x, _ in here), Counter(y for _, y in here)
-        for x, y in here:
-            pairs |= {x, y}
-            flows[y].append((x, 1 / out[x]))
-            flows[x].append((y, 1 / into[y]))
+            side[a, label].append(b)
+    labels = defaultdict(list)
+    for a, label in out[0]:
+        labels[a].append(label)
+    flows: dict = defaultdict(list)
+    pairs, todo = {("/", "/")}, [("/", "/")]
+    while todo:
+        x = todo.pop()
+        for label in labels[x[0]]:
+            # parts and types are the same on both sides or can't be paired
+            to = [(b, d) for b in out[0][x[0], label] for d in out[1].get((x[1], label), ()) if b == d or b[0] == "f"]
+            for y in to:
+                flows[y].append((x, 1 / len(to)))
+                flows[x].append((y, 1 / len(to)))
+                if y not in pairs:
+                    pairs.add(y)
+                    todo.append(y)
     first = {p: 1.0 if p[0] == p[1] else likeness(p[0].rpartition(".")[2].removeprefix("f:"), p[1].rpartition(".")[2].removeprefix("f:")) for p in pairs}
     score = dict(first)
     for _ in range(rounds):
@@ -175,22 +179,36 @@ def flood(old: list[tuple[str, str]], new: list[tuple[str, str]], rounds: int =
     return {(a[2:], b[2:]): v for (a, b), v in score.items() if a[0] == "f"}
 
 
+def select(scores: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+    """The consistent correspondences among flooded pairs.
+
+    A pair's relative score is its share of all that flowed to its old field,
+    or to its new one.  Taken is a pair that has all of it on both sides: where
+    a rival keeps a part, the field counts as gone or new.
+    """
+    left, right = Counter(), Counter()
+    for (a, b), s in scores.items():
+        left[a] += s
+        right[b] += s
+    return {(a, b): s for (a, b), s in scores.items() if s > 0 and s == left[a] == right[b]}
+
+
 def correspond(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> list[tuple[str, str, str, float]]:
     """Changes from one schema to the next: (old field, new field, kind, score)."""
     was, now = dict(old), dict(new)
     out = [(f, f, f"{was[f]} to {now[f]}", 1.0) for f in was if f in now and was[f] != now[f]]
     gone, come = [f for f in was if f not in now], [f for f in now if f not in was]
     if gone or come:
-        scores = flood(old, new)
-        candidates = {p: s for p, s in scores.items() if p[0] in set(gone) and p[1] in set(come)}
-        left, right = Counter(a for a, _ in candidates), Counter(b for _, b in candidates)
-        # a field with two candidates on either side fits no single correspondence
-        taken = {p: s for p, s in candidates.items() if left[p[0]] == right[p[1]] == 1}
-        best_old = {a: max(s for (x, _), s in candidates.items() if x == a) for a in left}
-        best_new = {b: max(s for (_, y), s in candidates.items() if y == b) for b in right}
+        went, came = set(gone), set(come)
+        scores = {p: s for p, s in flood(old, new).items() if p[0] in went and p[1] in came}
+        taken = select(scores)
+        best_old, best_new = defaultdict(float), defaultdict(float)
+        for (a, b), s in scores.items():
+            best_old[a], best_new[b] = max(best_old[a], s), max(best_new[b], s)
+        renamed, names = {a for a, _ in taken}, {b for _, b in taken}
         out += [(a, b, "renamed", s) for (a, b), s in taken.items()]
-        out += [(a, "", "removed", best_old.get(a, 0.0)) for a in gone if a not in {x for x, _ in taken}]
-        out += [("", b, "added", best_new.get(b, 0.0)) for b in come if b not in {y for _, y in taken}]
+        out += [(a, "", "removed", best_old[a]) for a in gone if a not in renamed]
+        out += [("", b, "added", best_new[b]) for b in come if b not in names]
     return sorted(out)
 
 
@@ -207,6 +225,8 @@ def changes(df: DataFrame) -> DataFrame:
     steps = materialise(with_previous(materialise(file_schemas(df), "schemas")).filter("before IS NOT NULL AND before.sig <> sig"), "schema-steps")
     both = steps.select(F.col("before.sig").alias("old_sig"), F.col("sig").alias("new_sig"), F.col("before.schema").alias("old"), F.col("schema").alias("new"))
     distinct = both.groupBy("old_sig", "new_sig").agg(F.first("old").alias("old"), F.first("new").alias("new"))
+    # few bytes but much work: not to be put together into one task
+    distinct = distinct.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "old_sig", "new_sig")
     flooded = distinct.mapInArrow(_flooded, f"old_sig string, new_sig string, changes {CHANGES}")
     joined = steps.withColumn("old_sig", F.col("before.sig")).withColumnRenamed("sig", "new_sig").join(flooded, ["old_sig", "new_sig"])
     return joined.select("file_id", "stream", "file_no", F.explode("changes").alias("c")).select("file_id", "stream", "file_no", "c.old_field", "c.new_field", F.col("c.kind").alias("change"), "c.score")
@@ -219,7 +239,10 @@ def canonical_names(found: DataFrame, schemas: DataFrame) -> dict[str, str]:
     """
     renames = found.filter("change = 'renamed'").groupBy("old_field", "new_field").count().collect()
     fields = schemas.groupBy("sig").agg(F.first("schema").alias("schema"), F.count("*").alias("n"))
-    together = fields.select(F.explode("schema.field").alias("a"), "schema").select("a", F.explode("schema.field").alias("b")).distinct().collect()
+    moved = F.array(*[F.lit(x) for x in sorted({x for r in renames for x in (r["old_field"], r["new_field"])})]).cast("array<string>")
+    # only names that were ever renamed can meet
+    both = fields.select(F.array_intersect("schema.field", moved).alias("own"))
+    together = both.select(F.explode("own").alias("a"), "own").select("a", F.explode("own").alias("b")).distinct().collect()
     weight = {r["field"]: r["n"] for r in fields.select(F.explode("schema.field").alias("field"), "n").groupBy("field").agg(F.sum("n").alias("n")).collect()}
     clash = {(r["a"], r["b"]) for r in together}
     group = {f: {f} for f in weight}
@@ -275,7 +298,7 @@ def _cast(value: object, kind: T.DataType):
         return float(value)
     if isinstance(kind, T.BooleanType):
         return value
-    return (value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)).encode("utf-8", "replace").decode()
+    return (value if isinstance(value, str) else dump(value)).encode("utf-8", "replace").decode()
 
 
 def unify(df: DataFrame) -> DataFrame:

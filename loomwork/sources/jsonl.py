@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import json.scanner
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,21 +19,67 @@ def _refuse(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
-_decode = json.JSONDecoder(parse_constant=_refuse).decode
+@contextmanager
+def deep(text: str) -> Iterator[None]:
+    """Room for as many nested Python calls as the brackets of the text can ask for."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + 8 * (text.count("{") + text.count("["))))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def decoders(**hooks: Callable) -> tuple[Callable[[str], object], Callable[[str], object]]:
+    """The fast decoder, and one for structures nested deeper than it can follow, to be used inside ``deep``."""
+    patient = json.JSONDecoder(**hooks)
+    patient.scan_once = json.scanner.py_make_scanner(patient)
+    return json.JSONDecoder(**hooks).decode, patient.decode
+
+
+_decode, _decode_deep = decoders(parse_constant=_refuse)
 
 
 def parse_object(line: str) -> dict | None:
-    """The object if the line is one complete JSON object, white space around it left aside."""
+    """The object if the line is one complete JSON object, however deep, white space around it left aside."""
     line = line.strip()
     if line[:1] != "{" or line[-1:] != "}":
         return None
     try:
         value = _decode(line)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        with deep(line):
+            try:
+                value = _decode_deep(line)
+            except ValueError:
+                return None
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
 
+def dump(value: object) -> str:
+    """The JSON text of a value, however deep."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[str, object]] = [("", value)]
+    while todo:
+        before, item = todo.pop()
+        out.append(before)
+        if isinstance(item, (dict, list)) and item:
+            named = isinstance(item, dict)
+            parts = [(f"{json.dumps(k, ensure_ascii=False)}: ", v) for k, v in item.items()] if named else [("", v) for v in item]
+            out.append("{" if named else "[")
+            todo.append(("}" if named else "]", None))
+            todo += [((", " if i else "") + head, v) for i, (head, v) in reversed(list(enumerate(parts)))]
+        elif before not in ("}", "]"):
+            out.append(json.dumps(item, ensure_ascii=False))
+    return "".join(out)
+
+
 def body_lines(body: str) -> list[str]:
     """Lines end at "\\n" only; a byte-order mark at the start belongs to none."""
     return body.removeprefix("﻿").split("\n")
@@ -39,7 +88,7 @@ def body_lines(body: str) -> list[str]:
 def _text(value: object) -> str | None:
     if value is None:
         return None
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else dump(value)
     return text.encode("utf-8", "replace").decode()
 
 

@@ -71,3 +71,19 @@ def test_unified_types_hold_every_value(spark):
     assert [rows[1, k].b for k in range(3)] == [2**53 + 1, -(2**63), 0] and dict(got.dtypes)["b"] == "bigint"
     assert [rows[1, k].c for k in range(3)] == ["5", "0.5", str(2**53 + 1)]
     assert [rows[1, k].d for k in range(3)] == ["1", "2", "x"] and rows[None, 0].only == 7
+
+
+def test_flooded_scores_decide(monkeypatch):
+    old, new = [("a", "integer"), ("n", "string")], [("b", "integer"), ("n", "string")]
+    assert ("a", "b", "renamed") in {c[:3] for c in sd.correspond(old, new)}
+    monkeypatch.setattr(sd, "flood", lambda old, new: {})
+    assert {c[:3] for c in sd.correspond(old, new)} == {("a", "", "removed"), ("", "b", "added")}
+    assert sd.select({("a", "b"): 0.4, ("a", "c"): 0.01, ("d", "e"): 0.2}) == {("d", "e"): 0.2}
+
+
+def test_deep_records_are_read():
+    from loomwork.sources import jsonl
+
+    line = '{"answer": ' + "[" * 4000 + '{"k": 1.5, "e": [], "o": {}}' + "]" * 4000 + ', "metadata": {"a": ["x", null, true]}}'
+    value = jsonl.parse_object(line)
+    assert jsonl.dump(value) == line and jsonl.parse_object("{" + '"a":{' * 4000) is None
