@@ -15,16 +15,16 @@ holds a third of the table is never brought into one task; the others are
 joined by shuffle.
 
 Defined results.  Rows whose metadata is null or no readable JSON object are
-no records and belong to no group.  Null answer equals null answer only; an
+copies of no other row: in ``copies`` they don't occur, in ``distinct_records``
+each is one.  Null answer equals null answer only; an
 answer of nothing but punctuation equals an empty one.  Numbers keep their
 digits as written (1.0 is not 1.00).  A field given twice in an object counts
-twice.  Structures nested deeper than the parser can follow are unreadable.
+twice.  Structures may be nested to any depth.
 Repeated row_ids are each a row; ties for the first row can't differ.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.scratch import materialise
+from loomwork.sources.jsonl import decoders, deep
 
 TOKEN = re.compile(r"(?<![\w.])\.\d+|\d+(?:\.\d+)+|[^\W_]+|[-+*/%=<>&|~^]")
 #: Digests of at least this share of all grouped rows are joined by broadcast.
@@ -60,7 +61,7 @@ class Forms:
     def __init__(self, keep: int = 200_000) -> None:
         self.leaves: dict[str, tuple[bytes, str]] = {}
         self.keep = keep
-        self.decode = json.JSONDecoder(object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=_refuse).decode
+        self.decode, self.decode_deep = decoders(object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=_refuse)
 
     def leaf(self, text: str) -> tuple[bytes, str]:
         known = self.leaves.get(text)
@@ -95,16 +96,22 @@ class Forms:
         """Of a row; None where metadata is no readable JSON object."""
         if metadata is None:
             return None
+        text = metadata.lstrip("\ufeff")
         try:
-            tree = self.decode(metadata.lstrip("﻿"))
-        except (ValueError, RecursionError):
+            return self._record(answer, self.decode(text))
+        except RecursionError:
+            with deep(text):
+                try:
+                    return self._record(answer, self.decode_deep(text))
+                except ValueError:
+                    return None
+        except ValueError:
             return None
+
+    def _record(self, answer: str | None, tree: object) -> tuple[bytes, str] | None:
         if type(tree) is not _Pairs:
             return None
-        try:
-            (a, f), (b, g) = (b"\0", "\0") if answer is None else self.leaf(answer), self.node(tree)
-        except RecursionError:
-            return None
+        (a, f), (b, g) = (b"\0", "\0") if answer is None else self.leaf(answer), self.node(tree)
         return blake2b(b"R" + a + b, digest_size=16).digest(), f + _FIELD + g
 
 
@@ -112,23 +119,27 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forms = Forms()
-    for batch in batches:
-        ids, answers, metas = (batch.column(i).to_pylist() for i in range(3))
-        out_ids, digests, texts = [], [], []
-        for row_id, answer, meta in zip(ids, answers, metas, strict=True):
-            known = forms.record(answer, meta)
-            if known is not None:
-                out_ids.append(row_id)
-                digests.append(known[0])
-                texts.append(known[1].encode("utf-8", "replace").decode())
-        yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], names=["row_id", "digest", "form"])
+def _hash_batches(unreadable: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = Forms()
+        for batch in batches:
+            ids, answers, metas = (batch.column(i).to_pylist() for i in range(3))
+            out_ids, digests, texts = [], [], []
+            for row_id, answer, meta in zip(ids, answers, metas, strict=True):
+                known = forms.record(answer, meta)
+                if known is not None or unreadable:
+                    digest, form = known or (None, None)
+                    out_ids.append(row_id)
+                    digests.append(digest)
+                    texts.append(form and form.encode("utf-8", "replace").decode())
+            yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], names=["row_id", "digest", "form"])
+
+    return run
 
 
-def hashed_records(df: DataFrame) -> DataFrame:
-    """(row_id, digest, form) of every record, written to the shared folder."""
-    return materialise(df.select("row_id", "answer", "metadata").mapInArrow(_hash_batches, SCHEMA), "merkle")
+def hashed_records(df: DataFrame, unreadable: bool = False) -> DataFrame:
+    """(row_id, digest, form) of every record, written to the shared folder; of ``unreadable`` rows only the row_id."""
+    return materialise(df.select("row_id", "answer", "metadata").mapInArrow(_hash_batches(unreadable), SCHEMA), "merkle")
 
 
 def copy_groups(hashed: DataFrame) -> DataFrame:
@@ -155,6 +166,12 @@ def copies(df: DataFrame) -> DataFrame:
 
 
 def distinct_records(df: DataFrame) -> DataFrame:
-    """One row per record: the smallest row_id, its number of copies, its digest in hex."""
+    """One row per record: the smallest row_id, its number of copies, its digest in hex; unreadable rows have none.
+
+    A row whose metadata can't be read as an object is a copy of no other, so
+    it is a record of its own.
+    """
+    hashed = hashed_records(df, unreadable=True)
     # by the whole structure too: equal digests of different ones are different records
-    return hashed_records(df).groupBy("digest", "form").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n_copies")).select("first_row_id", "n_copies", F.lower(F.hex("digest")).alias("digest"))
+    known = hashed.filter("digest IS NOT NULL").groupBy("digest", "form").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n_copies")).select("first_row_id", "n_copies", F.lower(F.hex("digest")).alias("digest"))
+    return known.unionByName(hashed.filter("digest IS NULL").select(F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("string").alias("digest")))
