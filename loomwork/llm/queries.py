@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     t = table
     return {
-        "p1_found": lambda s, d: sampling.short_categories(t(s, d, "problem_collected"), t(s, d, "sample_target")),
+        "p1_found": lambda s, d: sampling.short_categories(t(s, d, "problem_collected"), t(s, d, "sample_target"), key_cols=["row_id"]),
         "p1_report": lambda s, d: sampling.sample_report(t(s, d, "problem_collected"), t(s, d, "sample_target"), key_cols=["row_id"]),
         "p1_sample": lambda s, d: sampling.sample_to_targets(t(s, d, "problem_collected"), t(s, d, "sample_target"), key_cols=["row_id"]).select("row_id", "level", "mode"),
         "p3_found": lambda s, d: merkle.copies(t(s, d, "problem_collected")),

@@ -38,7 +38,7 @@ STATS = "_cat int, level int, mode string, available long, wanted double, min_ro
 PLAN = f"{STATS}, base double, expected double, crossed long, add long, remove long, start double"
 _EPS = 1e-9
 #: Columns that the operator works with; those of the input are left out.
-_OWN = ("_cat", "_key", "_slice", "_n", "_before", "_rank", "_l", "_m", "_available", "_base", "_expected", "_add", "_remove", "_start")
+_OWN = ("_cat", "_key", "_slice", "_n", "_before", "_rank", "_l", "_m", "_drawn", "_available", "_base", "_expected", "_add", "_remove", "_start")
 
 
 def plain_mode(mode: Column) -> Column:
@@ -107,20 +107,20 @@ def _tagged(df: DataFrame, categories: DataFrame, seed: int, key_cols: list[str]
     return keyed.join(known, (F.col("level") == F.col("_l")) & (plain_mode(F.col("mode")) == F.col("_m"))).drop("_l", "_m").withColumn("_slice", prefix.slice_of(F.col("_key")))
 
 
-def plan_sample(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None, sliced: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The plan by category, the tagged rows, and their counts by category and, if ``sliced``, by slice."""
+def plan_sample(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plan by category, the tagged rows, and their counts by category and slice."""
     df = drop_clashing(df, *_OWN)
     categories = _categories(targets)
     rows = _tagged(df, categories, seed, key_cols or [c for c, t in df.dtypes if not t.startswith(("map", "variant"))])
-    counts = prefix.slice_sums(rows, ["_cat"], "_slice", F.lit(1), "_n") if sliced else rows.groupBy("_cat").agg(F.count("*").alias("_n"))
+    counts = prefix.slice_sums(rows, ["_cat"], "_slice", F.lit(1), "_n")
     known = counts.groupBy("_cat").agg(F.sum("_n").alias("available"))
     stats = categories.join(known, "_cat", "left").select("_cat", "level", "mode", F.coalesce("available", F.lit(0)).cast("long").alias("available"), F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.col("sample_rows")).alias("wanted"), "min_rows", "target_share", "sample_rows")
     # as many rows as the target table has, whatever the size of the data
     return stats.groupBy(F.lit("all")).applyInPandas(lambda pdf: _plan(pdf, seed), PLAN), rows, counts
 
 
-def sample_to_targets(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> DataFrame:
-    """The rows of the sample, with the columns of ``df``."""
+def draw(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The plan by category, and every row of a category with ``_cat`` and whether it is ``_drawn``."""
     plan, rows, counts = plan_sample(df, targets, seed, key_cols)
     offsets = prefix.slice_offsets(counts, ["_cat"], "_slice", "_n", "_before")
     ranked = prefix.with_prefix(rows, offsets, ["_cat"], "_slice", ["_key", *(key_cols or [])], F.lit(1), "_before", "_rank")
@@ -130,16 +130,28 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols
     hits = at(F.col("_rank")) - end(F.col("_base"))  # selected up to and with this row
     crossed = at(F.col("_rank")) > at(F.col("_rank") - 1)
     kept = (crossed & (hits > F.col("_remove"))) | (~crossed & (F.col("_rank") - hits <= F.col("_add")))
-    return joined.filter(kept).select(*[F.col(f"`{c}`") for c in drop_clashing(df, *_OWN).columns])
+    return plan, joined.withColumn("_drawn", kept)
+
+
+def sample_to_targets(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> DataFrame:
+    """The rows of the sample, with the columns of ``df``."""
+    _, rows = draw(df, targets, seed, key_cols)
+    return rows.filter("_drawn").select(*[F.col(f"`{c}`") for c in drop_clashing(df, *_OWN).columns])
 
 
 def sample_report(df: DataFrame, targets: DataFrame, seed: int = 7, key_cols: list[str] | None = None) -> DataFrame:
-    """Per category: rows there, wanted and taken, its share, and whether the target can't be met."""
-    plan, _, _ = plan_sample(df, targets, seed, key_cols, sliced=False)
-    taken = F.col("crossed") + F.col("add") - F.col("remove")
-    return plan.withColumn("taken", taken).select("level", "mode", "available", "wanted", "min_rows", "target_share", "sample_rows", "taken", (F.col("taken") / F.col("sample_rows")).alias("actual_share"), (F.col("available") < F.col("wanted") - _EPS).alias("short"))
+    """Per category: rows there, wanted and drawn, its share, and whether the target can't be met.
+
+    All of it is counted in the drawn sample: a target can't be met where
+    fewer rows than wanted were drawn although none was left over.
+    """
+    plan, rows = draw(df, targets, seed, key_cols)
+    drawn = rows.groupBy("_cat").agg(F.sum(F.col("_drawn").cast("long")).alias("taken"), F.sum((~F.col("_drawn")).cast("long")).alias("left_over"))
+    out = plan.join(drawn, "_cat", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("taken", "left_over")})
+    short = (F.col("taken") < F.col("wanted") - _EPS) & (F.col("left_over") == 0)
+    return out.select("level", "mode", (F.col("taken") + F.col("left_over")).alias("available"), "wanted", "min_rows", "target_share", "sample_rows", "taken", (F.col("taken") / F.col("sample_rows")).alias("actual_share"), short.alias("short"))
 
 
-def short_categories(df: DataFrame, targets: DataFrame) -> DataFrame:
-    """Categories, as the targets write them, whose target can't be met."""
-    return sample_report(df, targets).filter("short").select("level", "mode")
+def short_categories(df: DataFrame, targets: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+    """Categories, as the targets write them, whose target the drawn sample could not meet."""
+    return sample_report(df, targets, key_cols=key_cols).filter("short").select("level", "mode")
