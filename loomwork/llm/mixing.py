@@ -54,30 +54,44 @@ def _budgets(targets: DataFrame, sums: DataFrame) -> DataFrame:
     return joined.select("source", "weight", "max_passes", "total_tokens", budget.alias("budget"), "available", F.least(whole, F.col("max_passes")).cast("int").alias("whole"), reach.alias("reach")).withColumn("rest", F.greatest(F.lit(0.0), F.col("reach") - F.col("whole") * F.col("available")))
 
 
-def mix_sources(df: DataFrame, targets: DataFrame) -> DataFrame:
-    """The mix: (source, row_id, pass, tokens), a row for each use."""
+def use_rows(df: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, row_id, tokens, max_passes, uses): every row of a wanted source and how often the mix uses it."""
     rows = _counted(df)
     sums = prefix.slice_sums(rows, ["source"], "_slice", F.col("tokens"), "_t")
     offsets = prefix.slice_offsets(sums, ["source"], "_slice", "_t", "_before")
     placed = prefix.with_prefix(rows, offsets, ["source"], "_slice", ["_key", "row_id", "tokens"], F.col("tokens"), "_before", "_sum")
-    joined = placed.join(_budgets(targets, sums).select("source", "whole", "rest"), "source")
+    joined = placed.join(_budgets(targets, sums).select("source", "whole", "rest", "max_passes"), "source")
     # the middle of the row lies before the cut: using it brings the source nearer to its budget
     extra = (F.col("rest") > _EPS) & (F.col("_sum") - F.col("tokens") / 2 <= F.col("rest"))
-    uses = F.col("whole") + F.when(extra, 1).otherwise(0)
-    return joined.withColumn("_uses", uses).filter("_uses > 0").select("source", "row_id", F.explode(F.sequence(F.lit(1), F.col("_uses"))).alias("pass"), "tokens")
+    return joined.select("source", "row_id", "tokens", "max_passes", (F.col("whole") + F.when(extra, 1).otherwise(0)).alias("uses"))
+
+
+def mix_sources(df: DataFrame, targets: DataFrame) -> DataFrame:
+    """The mix: (source, row_id, pass, tokens), a row for each use."""
+    return use_rows(df, targets).filter("uses > 0").select("source", "row_id", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("pass"), "tokens")
 
 
 def mix_report(df: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: weight asked for and reached, tokens there and used, and whether it falls short."""
-    rows = _counted(df)
-    budgets = _budgets(targets, prefix.slice_sums(rows, ["source"], "_slice", F.col("tokens"), "_t"))
-    used = mix_sources(df, targets).groupBy("source").agg(F.sum("tokens").alias("used"), F.count("*").alias("rows_used"), F.max("pass").alias("passes"))
-    out = budgets.join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    all_ = F.sum("used").over(prefix.Window.partitionBy(F.lit(0)))
-    return out.select("source", "weight", "max_passes", "budget", "available", "used", F.coalesce("rows_used", F.lit(0)).alias("rows_used"), F.coalesce("passes", F.lit(0)).alias("passes"), F.try_divide(F.col("used").cast("double"), all_.cast("double")).alias("actual_share"), (F.col("available") * F.col("max_passes") < F.col("budget") - _EPS).alias("short"))
+    """Per source: weight asked for and reached, tokens there and used, and whether it falls short.
+
+    All of it is summed up over the cut mix: a source falls short where less
+    than its budget is used although every row is used as often as allowed.
+    """
+    uses, tokens = F.col("uses"), F.col("tokens")
+    used = use_rows(df, targets).groupBy("source").agg(
+        F.sum(uses * tokens).alias("used"),
+        F.sum((F.col("max_passes") - uses) * tokens).alias("unused"),
+        F.sum(tokens).alias("available"),
+        F.sum(uses.cast("long")).alias("rows_used"),
+        F.max(uses).alias("passes"),
+    )
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("used", "unused", "available", "rows_used", "passes")}
+    out = targets.select("source", "weight", "max_passes", (F.col("weight") * F.col("total_tokens")).alias("budget")).join(used, "source", "left").withColumns(filled)
+    all_ = F.sum("used").over(prefix.Window.partitionBy(F.lit(0)))  # one row per source of the targets
+    short = (F.col("used") < F.col("budget") - _EPS) & (F.col("unused") == 0)
+    return out.select("source", "weight", "max_passes", "budget", "available", "used", "rows_used", "passes", F.try_divide(F.col("used").cast("double"), all_.cast("double")).alias("actual_share"), short.alias("short"))
 
 
 def short_sources(df: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources whose tokens, at most ``max_passes`` times each, are less than their budget."""
-    sums = prefix.slice_sums(_counted(df), ["source"], "_slice", F.col("tokens"), "_t")
-    return _budgets(targets, sums).filter(F.col("available") * F.col("max_passes") < F.col("budget") - _EPS).select("source")
+    """Sources of which the cut mix holds less than their budget, all their rows used ``max_passes`` times."""
+    return mix_report(df, targets).filter("short").select("source")
