@@ -44,7 +44,7 @@ def test_blocks_change_nothing(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(9)]
     docs = [(i, " ".join(p for _, p in items[i : i + 2])) for i in range(9)]
     d, t = tables(spark, docs, items)
-    monkeypatch.setattr(leakage.item_blocks, "__defaults__", (45,))
+    monkeypatch.setattr(leakage, "BLOCK_SEEDS", 20)
     assert {tuple(r) for r in leakage.leaked_items(d, t).collect()} == brute(docs, items, 13)
 
 
@@ -76,3 +76,21 @@ def test_long_text_and_empty_tables(spark):
     assert leakage.leaked_items(d, t).count() == 0
     d, t = tables(spark, [(1, passage)], [])
     assert leakage.leaked_items(d, t).count() == 0
+
+
+def test_periodic_texts_stay_quick():
+    import time
+
+    import numpy as np
+
+    began = time.perf_counter()
+    assert leakage.tile(np.array([1, 2] * 5000), np.array([2, 1] * 200), 5) == [400]
+    assert time.perf_counter() - began < 5
+
+
+def test_tiles_decide(spark, monkeypatch):
+    a, b = ([f"{x}{k}" for k in range(13)] for x in "ab")
+    d, t = tables(spark, [(1, " ".join([*a, "z", *b[:6]]))], [(7, " ".join(a + b))])
+    assert [(r.longest, r.tiles, r.covered) for r in leakage.leaked_passages(d, t).collect()] == [(13, 2, 19)]
+    monkeypatch.setattr(leakage, "tile", lambda doc, item, least: [])
+    assert leakage.leaked_items(d, t).count() == 0
