@@ -101,12 +101,6 @@ def t14_mentions(s, d):
 
 
 # constraints
-def c05_scopes(s, d):
-    """Constraint scopes on a grid of variables: each with its right and lower neighbour."""
-    v = s.range(16).select(F.col("id").alias("a"))
-    return v.select("a", F.explode(F.array(F.when(F.col("a") % 4 < 3, F.col("a") + 1), F.when(F.col("a") < 12, F.col("a") + 4))).alias("b")).filter("b IS NOT NULL")
-
-
 def c12_trace(s, d):
     """What an order holds after its last line, and the number of its lines; ``c12_states`` has the states between."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
@@ -180,22 +174,6 @@ def y07_fold_constants(s, d):
 
 
 # inference
-def b03_random_cpd(s, d):
-    """Seeded conditional tables whose rows add up to one."""
-    g = t(s, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("state"))
-    raw = g.withColumn("x", -F.log(1 - _hash("n_nationkey", "state")))
-    p = raw.withColumn("p", F.col("x") / F.sum("x").over(Window.partitionBy("n_nationkey")))
-    return p.groupBy("n_nationkey").agg(F.round(F.sum("p"), 9).alias("total"), F.count_if(F.col("p") < 0).alias("negative"))
-
-
-def b14_bif(s, d):
-    """A network text, parsed to its tables."""
-    n = t(s, d, "nation").select("n_nationkey", F.concat(F.lit("probability ( V"), F.col("n_nationkey"), F.lit(" | R"), F.col("n_regionkey"), F.lit(" ) { (0) 0.2, 0.8; (1) 0.5, 0.5; }")).alias("bif"))
-    rows = n.select("n_nationkey", F.regexp_extract("bif", r"\| (\w+) \)", 1).alias("parent"), F.explode(F.regexp_extract_all("bif", F.lit(r"\(\d\) [\d., ]+"), F.lit(0))).alias("row"))
-    nums = F.split(F.regexp_replace("row", r"^\(\d\) ", ""), ", ")
-    return rows.select("n_nationkey", "parent", F.regexp_extract("row", r"^\((\d)\)", 1).cast("int").alias("given"), F.get(nums, F.lit(0)).cast("double").alias("p0"), F.get(nums, F.lit(1)).cast("double").alias("p1"))
-
-
 # scorers
 def z08_list(s, d):
     n = t(s, d, "nation")
@@ -294,7 +272,6 @@ def oracle_sql() -> dict[str, str]:
         "t04_facts": "WITH p AS (SELECT a.s_suppkey AS a, min(b.s_suppkey) AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY 1) SELECT p.a, p.b, CASE WHEN x.s_acctbal < y.s_acctbal THEN 'left of' WHEN x.s_acctbal > y.s_acctbal THEN 'right of' ELSE 'with' END AS rel FROM p JOIN supplier x ON x.s_suppkey = p.a JOIN supplier y ON y.s_suppkey = p.b",
         "t06_distance": "SELECT n_nationkey, '(' || n_nationkey % 5 || ', ' || n_nationkey // 5 || ')' AS final, abs(n_nationkey % 5 - 2) + abs(n_nationkey // 5 - 2) AS distance FROM nation",
         "t14_mentions": "SELECT event_id, CASE WHEN lag(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) = user_id THEN 'they' ELSE 'user ' || user_id END AS np FROM events",
-        "c05_scopes": "SELECT i AS a, j AS b FROM range(16) a(i), range(16) b(j) WHERE (i % 4 < 3 AND j = i + 1) OR j = i + 4",
         "c12_trace": "SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS held, count(*) AS steps FROM lineitem GROUP BY 1",
         "c12_states": "SELECT *, 'after line ' || step || ': ' || coalesce(CAST(held AS VARCHAR), 'nothing') || ' held' AS state FROM (SELECT l_orderkey, count(*) OVER w AS step, CAST(sum(l_quantity) OVER w AS BIGINT) AS held FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))",
         "l06_completions": "SELECT * FROM (VALUES ('x'), ('()'), ('xx'), ('(x)'), ('x()'), ('()x'), ('xxx'), ('xxxx'), ('(())'), ('()()'), ('(xx)'), ('(x)x'), ('x(x)'), ('xx()'), ('x()x'), ('()xx')) v(text)",
@@ -305,8 +282,6 @@ def oracle_sql() -> dict[str, str]:
         "lg03_bloat": "SELECT p_partkey % 5 AS rule, count(*) AS n FROM part WHERE p_partkey % 5 > 2 OR substr(md5(CAST(p_partkey AS VARCHAR)), 1, 1) = '0' GROUP BY 1",
         "y03_anti_reduce": "SELECT n_nationkey, true AS same FROM nation",
         "y07_fold_constants": "SELECT n_nationkey, CAST(n_nationkey + 2 AS VARCHAR) AS folded FROM nation",
-        "b03_random_cpd": "SELECT n_nationkey, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative FROM nation",
-        "b14_bif": "SELECT n_nationkey, 'R' || n_regionkey AS parent, CAST(i AS INT) AS given, CASE WHEN i = 0 THEN 0.2 ELSE 0.5 END::DOUBLE AS p0, CASE WHEN i = 0 THEN 0.8 ELSE 0.5 END::DOUBLE AS p1 FROM nation, range(2) r(i)",
         "z08_list": "SELECT n_nationkey, CASE WHEN n_regionkey = n_nationkey % 5 THEN 1.0 ELSE 0.0 END AS score FROM nation",
         "z13_synsets": "WITH p AS (SELECT p_type, list(DISTINCT p_brand) AS r FROM part GROUP BY 1) SELECT a.p_type, b.p_type AS other, round(2.0 * len(list_intersect(a.r, b.r)) / (len(a.r) + len(b.r)), 6) AS score FROM p a JOIN p b ON a.p_type < b.p_type",
         "z19_regex": "SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.0::DOUBLE), (3, 0.5::DOUBLE)) v(id, score)",

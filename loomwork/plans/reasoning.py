@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,33 +196,6 @@ def t13_pronoun(s, d):
 
 
 # constraints ----------------------------------------------------------
-def _domains(s, *names, size=8):
-    out = None
-    for n in names:
-        one = s.range(size).select(F.col("id").alias(n))
-        out = one if out is None else out.crossJoin(one)  # domains of constant size, whatever the data
-    return out
-
-
-def _solutions(s, d):
-    return _domains(s, "x0", "x1", "x2").filter("2*x0 + x1 - x2 = 5").filter("pmod(x0 + x1, 3) = 1").filter("x0 <> x1 AND x1 <> x2 AND x0 <> x2")
-
-
-def c02_enumerate(s, d):
-    return _solutions(s, d)
-
-
-def c03_lexmin(s, d):
-    m = _solutions(s, d).agg(F.min(F.struct("x0", "x1", "x2")).alias("m"))
-    return m.select("m.*")
-
-
-def c04_fallback(s, d):
-    """Per constant the answer text: no solution, too many, or their number."""
-    n = _domains(s, "x0", "x1", "x2").crossJoin(s.range(0, 30, 5).select(F.col("id").alias("c"))).groupBy("c").agg(F.count_if(F.expr("x0 + x1 + x2 = c")).alias("n"))
-    return n.select("c", F.when(F.col("n") == 0, "UNSAT").when(F.col("n") > 40, "MIN").otherwise(F.col("n").cast("string")).alias("answer"))
-
-
 def c08_complement(s, d):
     """Negative facts: pairs of nation and segment without a customer."""
     c = t(s, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
@@ -231,35 +203,11 @@ def c08_complement(s, d):
     return grid.join(c, ["c_nationkey", "c_mktsegment"], "left_anti")
 
 
-def c10_plan_check(s, d):
-    """Orders as plans: a line number may only follow its predecessor; 1, 0.1 or 0."""
-    p = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a"))
-    ok = F.aggregate("a", F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda acc, x: F.struct(x.alias("at"), (acc["ok"] & (x <= acc["at"] + 1)).alias("ok")))
-    return p.withColumn("r", ok).select("l_orderkey", F.when(F.col("r.ok"), 1.0).when(F.element_at("a", 1) == 1, 0.1).otherwise(0.0).alias("score"))
-
-
 def c11_plan_parse(s, d):
     """"a(x,y)" as "(a x y)"."""
     return t(s, d, "nation").select("n_nationkey", F.regexp_replace(F.concat(F.lit("move("), F.col("n_name"), F.lit(","), F.col("n_regionkey").cast("string"), F.lit(")")), r"^(\w+)\(([^,]*),([^)]*)\)$", r"($1 $2 $3)").alias("step"))
 
 
-def c09_plan(s, d):
-    """Fewest steps of doubling and adding one from 1 to n: breadth first over states."""
-    def run(it):
-        for pdf in it:
-            out = []
-            for n in pdf["id"]:
-                seen, front, steps = {1}, [1], 0
-                while n not in seen:
-                    front = [y for x in front for y in (2 * x, x + 1) if y <= n and y not in seen]
-                    seen.update(front)
-                    steps += 1
-                out.append((n, steps))
-            yield pd.DataFrame(out, columns=["n", "steps"])
-
-    return s.range(1, 65).mapInPandas(run, "n long, steps long")
-
-
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if n[:1] in "kbtc" and n[1:3].isdigit()}
     own["k04_compose"] = lambda s, d: k.composition(s, 3)
@@ -280,7 +228,6 @@ _INT = "WITH v AS (SELECT CAST(i AS INT) AS x FROM range(-3, 4) r(i)), iv AS (SE
 
 def oracle_sql() -> dict[str, str]:
     case = _case_allen()
-    sol = "SELECT a.i AS x0, b.i AS x1, c.i AS x2 FROM range(8) a(i), range(8) b(i), range(8) c(i) WHERE 2*a.i + b.i - c.i = 5 AND (a.i + b.i) % 3 = 1 AND a.i <> b.i AND b.i <> c.i AND a.i <> c.i"
     rel = lambda a, b: case.replace("a0", f"{a}.s").replace("a1", f"{a}.e").replace("b0", f"{b}.s").replace("b1", f"{b}.e")
     return {
         "k01_allen": _SPANS + f"SELECT l_orderkey, {case} AS rel FROM y",
@@ -309,11 +256,6 @@ def oracle_sql() -> dict[str, str]:
         "t11_winograd": "SELECT p.p_partkey, CASE WHEN p.p_size > q.p_size THEN p.p_partkey ELSE q.p_partkey END AS larger FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1 WHERE p.p_size <> q.p_size",
         "t12_minimal_np": "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) = 1 THEN p_brand WHEN count(*) OVER (PARTITION BY p_brand, p_size) = 1 THEN p_brand || ' ' || p_size WHEN count(*) OVER (PARTITION BY p_brand, p_size, p_type) = 1 THEN p_brand || ' ' || p_size || ' ' || p_type END AS np FROM part",
         "t13_pronoun": "SELECT a.event_id, a.user_id FROM events a JOIN events b ON b.event_id = a.event_id - 1 WHERE a.user_id = b.user_id AND a.event_type <> b.event_type",
-        "c02_enumerate": sol,
-        "c03_lexmin": sol + " ORDER BY 1, 2, 3 LIMIT 1",
-        "c04_fallback": "SELECT c.i AS c, CASE WHEN count(*) FILTER (WHERE x.i + y.i + z.i = c.i) = 0 THEN 'UNSAT' WHEN count(*) FILTER (WHERE x.i + y.i + z.i = c.i) > 40 THEN 'MIN' ELSE CAST(count(*) FILTER (WHERE x.i + y.i + z.i = c.i) AS VARCHAR) END AS answer FROM range(0, 30, 5) c(i), range(8) x(i), range(8) y(i), range(8) z(i) GROUP BY 1",
         "c08_complement": "SELECT n_nationkey AS c_nationkey, m.c_mktsegment FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) m WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n_nationkey AND c.c_mktsegment = m.c_mktsegment)",
-        "c10_plan_check": "WITH o AS (SELECT l_orderkey, l_linenumber, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0) AS b FROM lineitem) SELECT l_orderkey, CAST(CASE WHEN bool_and(l_linenumber <= b + 1) THEN 1.0 WHEN min(l_linenumber) = 1 THEN 0.1 ELSE 0.0 END AS DOUBLE) AS score FROM o GROUP BY 1",
         "c11_plan_parse": "SELECT n_nationkey, '(move ' || n_name || ' ' || n_regionkey || ')' AS step FROM nation",
-        "c09_plan": "WITH RECURSIVE w AS (SELECT 1 AS x, 0 AS k UNION SELECT y, k + 1 FROM (SELECT unnest([2 * x, x + 1]) AS y, k FROM w) WHERE y <= 64 AND k < 12) SELECT CAST(x AS BIGINT) AS n, CAST(min(k) AS BIGINT) AS steps FROM w WHERE x <= 64 GROUP BY x",
     }

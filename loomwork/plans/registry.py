@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import collection, extensions, further, graphs, language, pipeline, reasoning, relational, scoring
+from loomwork.plans import collection, extensions, further, graphs, language, pipeline, problems, reasoning, relational, scoring
 
-FAMILIES = [pipeline, relational, graphs, reasoning, language, scoring, collection, further, extensions]
+FAMILIES = [pipeline, relational, graphs, reasoning, language, scoring, collection, further, extensions, problems]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
