@@ -51,8 +51,8 @@ BREADTH = {"phone": 2, "id_number": 2, "given": 3, "family": 2, "street": 2}
 CONFIDENT = 0.8
 #: Least score of a pattern that announces an identity number.
 ANNOUNCED = 0.15
-#: A telephone or identity number has at most so many digits, in so many groups.
-DIGITS, GROUPS = 15, 7
+#: A telephone number has at most 15 digits and an identity number at most 18, by their standards; six are the fewest.
+FEWEST, DIGITS = 6, 18
 MENTIONS = "doc_id long, kind string, found_text string, start int, part int, instance string, patterns array<string>, seed int, run int, before array<string>"
 FINDS = "doc_id long, kind string, found_text string, start int"
 
@@ -72,17 +72,18 @@ _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|DOT|Dot|punto|punkt|point|\.)\s?[)\]}>]\s?|&#
 _LOCAL = r"[^\W_](?:[\w.+%'-]*[\w+%-])?"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 EMAIL = re.compile(rf"(?<![\w.+%@-]){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,}}|\s(?:at|AT|arroba)\s{_LABEL}(?:\s(?:dot|DOT|punto|punkt|point)\s{_LABEL})*\s(?:dot|DOT|punto|punkt|point)\s[^\W\d_]{{2,}})(?![\w@])")
-EMAIL_SIGN = re.compile(r"@|＠|&#0*64;|[(\[{<]\s?(?:at|AT|At|arroba|ät)\s?[)\]}>]|\s(?:at|AT|arroba)\s(?=[\w-]+\s(?:dot|DOT|punto|punkt|point)\s)")
+_QUOTE = re.compile("'")
+EMAIL_SIGN = re.compile(r"(?=[@＠&(\[{<\s])(?:@|＠|&#0*64;|[(\[{<]\s?(?:at|AT|At|arroba|ät)\s?[)\]}>]|\s(?:at|AT|arroba)\s(?=[\w-]+\s(?:dot|DOT|punto|punkt|point)\s))")
 
-NUMBER = re.compile(r"(?<![\w+.,/#(-])(?=[\dA-Z+(][\d ()+./\nA-Z-]{6})(?!\d{4}-\d\d-\d\d[ T\n])(?:[A-Z]{2}[ \n]\d\d[ \n]\d\d[ \n]\d\d[ \n][A-Z]|(?:\(?\+|\(|[A-Z]{1,2}(?=\d))?\d+\)?(?:(?:[ .\n/-]\(?(?!\d{4}-\d\d-\d\d[ T\n])|(?<=\)))\d+\)?)*[A-Z]?)(?![\w])")
-PAIR = re.compile(rf"(?<![\w@./-])({CAP}) ({CAP})(?![\w@_]|\.\w)")
+NUMBER = re.compile(r"(?=[\dA-Z+(])(?<![\w+.,/#(-])(?=[\dA-Z+(][\d ()+./\nA-Z-]{6})(?!\d{4}-\d\d-\d\d[ T\n])(?:[A-Z]{2}[ \n]\d\d[ \n]\d\d[ \n]\d\d[ \n][A-Z]|(?:\(?\+|\(|[A-Z]{1,2}(?=\d))?\d+\)?(?:(?:[ .\n/-]\(?(?!\d{4}-\d\d-\d\d[ T\n])|(?<=\)))\d+\)?)*[A-Z]?)(?![\w])")
+PAIR = re.compile(rf"(?=[{_A}])(?<![\w@./-])({CAP}) ({CAP})(?![\w@_]|\.\w)")
 _TOWN = rf"(?:{CAP})(?:[ -]{CAP}){{0,2}}"
 _STREET = r"[^\W\d_][^\W\d_.'’/-]*(?:['’/.-][^\W\d_]+)*\.?/?(?: [^\W\d_][\w'’-]*\.?){0,4}"
-POSTCODE = re.compile(r"(?<![\w-])\d{5}(?![\w-])")
+POSTCODE = re.compile(r"(?=\d)(?<![\w-])\d{5}(?![\w-])")
 _FLAT = r"(?:(?i:flat|apt|apartment|unit|suite)\.?\s\w+,\s)?"
-_NUMBER_FIRST = re.compile(rf"(?<![\w.,/-]){_FLAT}(\d{{1,4}}[A-Za-z]?)(\s(?i:bis|ter))?,?\s({_STREET})(?:,\s|\n)(?:({_TOWN})\s\d{{5}}|\d{{5}}\s({_TOWN}))(?![\w-])")
+_NUMBER_FIRST = re.compile(rf"(?=\w)(?<![\w.,/-]){_FLAT}(\d{{1,4}}[A-Za-z]?)(\s(?i:bis|ter))?,?\s({_STREET})(?:,\s|\n)(?:({_TOWN})\s\d{{5}}|\d{{5}}\s({_TOWN}))(?![\w-])")
 _NUMBER_LAST = re.compile(rf"(?<![\w/])({CAP}\.?/?(?:\s(?:{CAP}|de|del|la|las|los|el|der|den|dem|am|im|zum|zur))*),?\s(\d{{1,4}}[a-z]?)(?:,\s|\n)\d{{5}}\s({_TOWN})(?![\w-])")
-_CAPS_BESIDE = re.compile(rf"(?<![\w.,/-])\d{{1,4}}[A-Z]? ({CAP}(?: {CAP}){{1,3}}\.?)")
+_CAPS_BESIDE = re.compile(rf"(?=\d)(?<![\w.,/-])\d{{1,4}}[A-Z]? ({CAP}(?: {CAP}){{1,3}}\.?)")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -131,20 +132,30 @@ def shape_of(text: str) -> str:
 
 
 def could_be_number(text: str) -> bool:
-    """At least eight signs, six to fifteen of them digits, and no decimal fraction."""
-    return len(text) >= 8 and 6 <= sum(c.isdigit() for c in text) <= DIGITS and not (text.count(".") == 1 and not re.search(r"[ \n()/-]", text))
+    """At least eight signs, six to eighteen of them digits, and no decimal fraction."""
+    return len(text) >= 8 and FEWEST <= sum(map(str.isdigit, text)) <= DIGITS and not (text.count(".") == 1 and not re.search(r"[ \n()/-]", text))
+
+
+def _local_starts(text: str, at: int, done: int) -> Iterator[int]:
+    """Where a local part that ends before the sign can begin, the earliest first."""
+    k = at - 1 if at > done and text[at - 1].isspace() else at
+    low = k
+    while low > done and (text[low - 1].isalnum() or text[low - 1] in "_.+%'-"):
+        low -= 1
+    yield low
+    yield from (m.end() for m in _QUOTE.finditer(text, low, k))
 
 
 def emails(text: str) -> Iterator[tuple[int, str]]:
-    """E-mail addresses however their signs are written."""
+    """E-mail addresses of any length, however their signs are written."""
     done = 0
     for sign in EMAIL_SIGN.finditer(text):
         if sign.start() < done:
             continue
-        begin = max(done, sign.start() - 70)
-        for m in EMAIL.finditer(text, begin, min(len(text), sign.end() + 120)):
-            if m.start() <= sign.start() < m.end():
-                yield m.start(), m.group()
+        for begin in _local_starts(text, sign.start(), done):
+            m = EMAIL.match(text, begin)
+            if m and sign.start() < m.end():
+                yield begin, m.group()
                 done = m.end()
                 break
 
@@ -187,10 +198,15 @@ def number_runs(start: int, text: str) -> Iterator[tuple[int, str, int]]:
         if could_be_number(text[a:b]):
             seen.add((a, b))
             yield start + a, text[a:b], part
+    digits = [sum(map(str.isdigit, text[a:b])) for a, b in zip(begins, ends, strict=True)]
     for i, a in enumerate(begins):
-        for b in ends[i : i + GROUPS]:
-            if (a, b) not in seen and could_be_number(text[a:b]):
-                yield start + a, text[a:b], 2
+        n = 0
+        for k in range(i, len(ends)):
+            n += digits[k]
+            if n > DIGITS:
+                break
+            if n >= FEWEST and (a, ends[k]) not in seen and could_be_number(text[a : ends[k]]):
+                yield start + a, text[a : ends[k]], 2
 
 
 def mentions(text: str) -> Iterator[tuple[str, str, int, int, str, list[str], int, int, list[str]]]:
@@ -216,8 +232,14 @@ def mentions(text: str) -> Iterator[tuple[str, str, int, int, str, list[str], in
             # shorter runs and those over a line end stay out of the graph, but words can announce them
             yield "number", piece, at, part, shape, informative([*left_of(text, at), right_of(text, at + len(piece))]) if part < 2 else [], 0, m.start(), [] if "A" in shape else announced_by(text, at)
     taken = set()
+    before = 0
     for code in POSTCODE.finditer(text):
-        begin, end = max(0, code.start() - 110), min(len(text), code.end() + 40)
+        # an address is within the line of its postcode, the one before and the one after
+        begin = text.rfind("\n", 0, max(0, text.rfind("\n", 0, code.start()))) + 1
+        end = text.find("\n", code.end())
+        end = len(text) if end < 0 else text.find("\n", end + 1) if text.find("\n", end + 1) > 0 else len(text)
+        # and begins after the postcode before it
+        begin, before = max(begin, before), code.end()
         for pattern, first in ((_NUMBER_FIRST, True), (_NUMBER_LAST, False)):
             for m in pattern.finditer(text, begin, end):
                 if not m.start() <= code.start() < m.end() or m.start() in taken:
@@ -340,7 +362,7 @@ class Lexicon:
     that are put together like family names are among the facts.
     """
 
-    def __init__(self, entries: list[tuple[str, str]], facts: list[tuple[str, str]] | None = None) -> None:
+    def __init__(self, entries: list[tuple[str, str]], facts: list[tuple[str, str]] | None = None, phrase_words: int = 0) -> None:
         known: dict[str, set[str]] = {k: set() for k in ("given", "family", "town", "context", "phrase", "like")}
         words: dict[str, set[str]] = {}
         for kind, key in facts if facts is not None else (f for e in entries for f in facts_of(*e)):
@@ -349,6 +371,8 @@ class Lexicon:
             else:
                 known[kind].add(key)
         self.given, self.family, self.towns, self.contexts, self.phrases = (known[k] for k in ("given", "family", "town", "context", "phrase"))
+        #: Words of the longest known phrase of a street, its signs counted as borders too.
+        self.phrase_words = max([phrase_words, *[len(re.findall(r"\w+", p)) for p in self.phrases]])
         self.machine = ahocorasick.Automaton()
         for form, kinds in words.items():
             self.machine.add_word(form, (len(form), frozenset(kinds)))
@@ -381,16 +405,26 @@ _COMPOUND = re.compile(rf"-{WORD}")
 _INITIAL_AFTER_GIVEN = re.compile(r"\s[^\W\d_]\.(?=[^\w]|$)")
 _INITIALS_BEFORE = re.compile(rf"(?:^|(?<=[^\w@./+-]))(?:[^\W\d_]\.[ -]?){{1,3}}(?<=[ .])\n?(?:{PARTICLES}\s){{0,2}}$", re.I)
 _INITIALS_AFTER = re.compile(r",\s(?:[^\W\d_]\.[\s-]?)*[^\W\d_]\.(?![\w])", re.I)
-_INITIALS_AND_NAME = re.compile(rf"(?<![\w@./+-])(?:[{_A}]\.\s){{1,2}}(?:{PARTICLES}\s){{0,2}}({CAP})(?![\w@_]|\.\w)")
+_INITIALS_AND_NAME = re.compile(rf"(?=[{_A}])(?<![\w@./+-])(?:[{_A}]\.\s){{1,2}}(?:{PARTICLES}\s){{0,2}}({CAP})(?![\w@_]|\.\w)")
 _GIVEN_BEFORE = re.compile(rf"(?:^|(?<=[^\w@./+-]))(?P<given>{CAP})(?:\s[{_A}]\.)?\s(?:{PARTICLES}\s){{0,2}}$")
 _HOUSE_BEFORE = re.compile(rf"(?:^|(?<=[^\w.,/-])){_FLAT}\d{{1,4}}(?:[A-Za-z]|\s(?i:bis|ter|quater))?,?\s$")
 _HOUSE_AND_NAME_BEFORE = re.compile(rf"(?:^|(?<=[^\w.,/-])){_FLAT}\d{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}$")
 _REST_OF_STREET = re.compile(rf"(?:\s(?:de|du|des|la|le|les|aux|au|à|del|las|los|el))*(?: ?[dl]['’])? ?{CAP}")
 _HOUSE_AFTER = re.compile(r",?\s\d{1,4}(?:\s?[a-z](?![\w]))?(?:,\s\d{1,2}\.?[ºª°](?:\s[A-Z](?![\w]))?)?")
 _TAIL_CODE = re.compile(rf"(?:,\s|\n)(?:(?P<a>{CAP}(?:[ -]{CAP}){{0,2}}?)\s\d{{5}}|\d{{5}}\s(?P<b>{CAP}(?:[-]{CAP})?))(?![\w-])")
+_WORD_END = re.compile(r"(?<=\w)(?=\W|$)")
 _TAIL_TOWN = re.compile(rf",\s(?P<a>{CAP}(?:[ -]{CAP}){{0,2}})")
 
 
+def _back(text: str, at: int, words: int, signs: int = 60) -> int:
+    """A place before which nothing belongs to the ``words`` words that end at ``at``, however long they are."""
+    begin = max(0, at - signs)
+    while begin and len(text[begin:at].split()) <= words:
+        signs *= 4
+        begin = max(0, at - signs)
+    return begin
+
+
 def _tail(text: str, end: int, lexicon: Lexicon) -> int:
     """Where an address ends that has reached ``end``: after postcode and town, or a known town."""
     m = _TAIL_CODE.match(text, end)
@@ -406,8 +440,14 @@ def _tail(text: str, end: int, lexicon: Lexicon) -> int:
     return end
 
 
-def _word_ends(text: str, end: int) -> list[int]:
-    return [m.end() + end for m in re.finditer(r"(?<=\w)(?=\W|$)", text[end : end + 60])][:7]
+def _word_ends(text: str, end: int, words: int) -> list[int]:
+    """The next places where a word ends, as many as the longest known phrase has words."""
+    out: list[int] = []
+    for m in _WORD_END.finditer(text, end):
+        out.append(m.start())
+        if len(out) > words:
+            break
+    return out
 
 
 def _phrase(text: str, start: int, stop: int) -> str:
@@ -416,7 +456,7 @@ def _phrase(text: str, start: int, stop: int) -> str:
 
 def _street_end(text: str, start: int, end: int, lexicon: Lexicon) -> int | None:
     """Where a street that begins with its type ends: at the longest known phrase, else after its first name."""
-    for stop in reversed(_word_ends(text, end)):
+    for stop in reversed(_word_ends(text, end, lexicon.phrase_words)):
         if _phrase(text, start, stop) in lexicon.phrases:
             return stop
     m = _REST_OF_STREET.match(text, end)
@@ -475,22 +515,22 @@ def asked(text: str, lexicon: Lexicon) -> set[tuple[str, str]]:
         out.update((f"form:{kind}", low[start:end]) for kind in kinds)
         if "given" in kinds:
             context(start)
-            for m in (_AFTER_GIVEN.match(text, end), _FAMILY_BEFORE.search(text, max(0, start - 60), start)):
+            for m in (_AFTER_GIVEN.match(text, end), _FAMILY_BEFORE.search(text, _back(text, start, 3), start)):
                 if m:
                     family(m.group("family"))
         if "family" in kinds:
             m = _COMPOUND.match(text, end)
             if m:
                 family(m.group()[1:])
-            g = _GIVEN_BEFORE.search(text, max(0, start - 60), start)
+            g = _GIVEN_BEFORE.search(text, _back(text, start, 4), start)
             if g:
                 out.add(("given", fold(g.group("given"))))
                 context(g.start())
         if "street_last" in kinds:
             tail(end)
             tail(end + 1)
-        if "street_first" in kinds and _HOUSE_BEFORE.search(text, max(0, start - 40), start):
-            for stop in _word_ends(text, end):
+        if "street_first" in kinds and _HOUSE_BEFORE.search(text, _back(text, start, 4), start):
+            for stop in _word_ends(text, end, lexicon.phrase_words):
                 out.add(("phrase", _phrase(text, start, stop)))
                 tail(stop)
             m = _REST_OF_STREET.match(text, end)
@@ -519,7 +559,7 @@ def learned_finds(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]
             if family:
                 spans.add(("name", start, m.start("family") + len(family)))
             else:
-                b = _FAMILY_BEFORE.search(text, max(0, start - 60), start) if before in " \n" else None
+                b = _FAMILY_BEFORE.search(text, _back(text, start, 3), start) if before in " \n" else None
                 if b and _known_family(b.group("family"), lexicon) and (b.group("comma") or "\n" not in text[b.start() : start]):
                     i = _INITIAL_AFTER_GIVEN.match(text, end) if b.group("comma") else None
                     spans.add(("name", b.start(), i.end() if i else end))
@@ -529,8 +569,8 @@ def learned_finds(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]
             if m and _known_family(m.group()[1:], lexicon):
                 whole = m.end()
             if whole == n or not (text[whole] in "-@_+" or (text[whole] == "." and whole + 1 < n and text[whole + 1].isalnum())):
-                b = _INITIALS_BEFORE.search(text, max(0, start - 30), start) if before in " \n-" else None
-                g = _GIVEN_BEFORE.search(text, max(0, start - 60), start) if before in " \n" else None
+                b = _INITIALS_BEFORE.search(text, _back(text, start, 5), start) if before in " \n-" else None
+                g = _GIVEN_BEFORE.search(text, _back(text, start, 4), start) if before in " \n" else None
                 if b and (text[b.start()].isupper() or text[start].islower()):
                     spans.add(("name", b.start(), whole))
                 elif g and fold(g.group("given")) not in lexicon.given and _in_context(text, g.start(), lexicon):
@@ -540,12 +580,12 @@ def learned_finds(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int]]
                     if a and before not in "-":
                         spans.add(("name", start, a.end()))
         if "street_last" in kinds:
-            b = _HOUSE_AND_NAME_BEFORE.search(text, max(0, start - 70), start)
+            b = _HOUSE_AND_NAME_BEFORE.search(text, _back(text, start, 6), start)
             if b:
                 stop = end + 1 if after == "." and low[start:end] in _DOTTED else end
                 spans.add(("address", b.start(), _tail(text, stop, lexicon)))
         if "street_first" in kinds:
-            b = _HOUSE_BEFORE.search(text, max(0, start - 40), start)
+            b = _HOUSE_BEFORE.search(text, _back(text, start, 4), start)
             stop = _street_end(text, start, end, lexicon) if b else None
             if stop:
                 spans.add(("address", b.start(), _tail(text, stop, lexicon)))
@@ -607,9 +647,9 @@ def lexicon_blocks(entries: DataFrame, most: int = BLOCK) -> Iterator[tuple[bool
         yield False, [tuple(r) for r in searched.filter(F.pmod(F.xxhash64("value"), F.lit(slices)) == i).collect()]
 
 
-def _asked_batches(entries: list[tuple[str, str]]):
+def _asked_batches(entries: list[tuple[str, str]], phrase_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Lexicon(entries)
+        block = Lexicon(entries, phrase_words=phrase_words)
         for batch in batches:
             rows = [(doc_id, *a) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for a in asked(text, block)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 3
@@ -659,10 +699,11 @@ def asked_finds(docs: DataFrame, entries: DataFrame, questions: DataFrame) -> Da
 def lexicon_finds(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, kind, found_text, start) of what the lexicon leads to; blocks change nothing about it."""
     questions = None
+    widest = entries.filter("kind = 'street' AND value LIKE 'phrase:%'").agg(F.max(F.regexp_count("value", F.lit(r"[\p{L}\p{N}_]+")))).first()[0] or 0
     for whole, block in lexicon_blocks(entries):
         if whole:
             return docs.mapInArrow(_learned_batches(block), FINDS)
-        some = materialise(docs.mapInArrow(_asked_batches(block), "doc_id long, kind string, key string"), "asked")
+        some = materialise(docs.mapInArrow(_asked_batches(block, widest), "doc_id long, kind string, key string"), "asked")
         questions = some if questions is None else questions.unionByName(some)
     return asked_finds(docs, entries, questions)
 
@@ -683,11 +724,12 @@ def distinct_finds(docs: DataFrame) -> DataFrame:
 
 def _replace_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, n = [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = [s for s in spans or [] if text[s["start"] : s["start"] + len(s["found_text"])] == s["found_text"]]
             free, kept = 0, []
             chosen: list[tuple[int, int, str]] = []
-            for s in sorted(spans or [], key=lambda s: (-len(s["found_text"]), s["kind"], s["start"])):
+            for s in sorted(own, key=lambda s: (-len(s["found_text"]), s["kind"], s["start"])):
                 a, b = s["start"], s["start"] + len(s["found_text"])
                 if not any(a < y and x < b for x, y, _ in chosen):
                     chosen.append((a, b, s["kind"]))
@@ -695,10 +737,17 @@ def _replace_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 kept.append(text[free:a] + f"[{kind.upper()}]")
                 free = b
             out.append(None if text is None else "".join(kept) + text[free:])
-        yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array([len(s or []) for s in batch.column(2).to_pylist()], pa.int32())], names=["doc_id", "text", "n_finds"])
+            n.append(len(own))
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["doc_id", "text", "n_finds"])
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_finds): every text, personal data replaced by its kind in brackets."""
-    spans = finds(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("kind", "found_text", "start")).alias("spans"))
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(_replace_batches, "doc_id long, text string, n_finds int")
+    """(doc_id, text, n_finds): every text, personal data replaced by its kind in brackets.
+
+    Rows are told apart by a hash of id and text, so texts without an id or
+    with one that is given twice get their own placeholders.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    spans = finds(keyed.select(F.col("_key").alias("doc_id"), "text")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("kind", "found_text", "start")).alias("spans"))
+    joined = keyed.join(spans.withColumnRenamed("doc_id", "_key"), "_key", "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(_replace_batches, "doc_id long, text string, n_finds int")

@@ -140,3 +140,25 @@ def test_announced_numbers_over_line_ends_and_beside_others(spark):
     patterns = spark.createDataFrame([("id_number", "l1:ssn", 0.5, 4)], "kind string, pattern string, p_score double, n_instances long")
     got = {(r.doc_id, r.found_text) for r in pii.number_finds(mentions, scores, patterns).collect()}
     assert got == {(0, "921 08\n0116"), (1, "921 08 0116"), (2, "921 08 0116")}
+
+
+def test_any_length(spark):
+    long = "a" * 200 + ".b@" + "c" * 150 + "." + "d" * 150 + ".test"
+    assert [m for _, m in pii.emails(f"x {long} y")] == [long] and [m for _, m in pii.emails(f"'{long}', z@y")] == [long]
+    assert [m for _, m in pii.emails("x" * 500_000 + "@" + "y" * 500_000)] == []
+    given, family = "Z" + "a" * 90, "Q" + "u" * 90
+    facts = [("given", given.lower()), ("family", family.lower()), ("town", "n" * 80), ("street", "first:rue"), ("street", "phrase:rue " + " ".join(["la"] * 9) + " porte")]
+    lexicon = pii.Lexicon(facts)
+    text = f"{family}, {given} lives at 12 rue {' '.join(['la'] * 9)} Porte, N{'n' * 79}"
+    assert {text[a:b] for _, a, b in pii.learned_finds(text, lexicon)} == {f"{family}, {given}", text[text.index("12 rue") :]}
+    street = "Ww" * 90
+    got = [m for m in pii.mentions(f"Send it to 7 {street} Road, Northam 20000 soon") if m[0] == "street"]
+    assert [m[1] for m in got] == [f"7 {street} Road, Northam 20000"]
+    groups = [m[1] for m in pii.mentions("id 1 2 3 4 5 6 7 8 9 0 end") if m[0] == "number"]
+    assert "1 2 3 4 5 6 7 8 9 0" in groups and "2 3 4 5 6 7 8 9 0" in groups
+
+
+def test_placeholders_without_and_with_equal_ids(spark):
+    rows = [(None, "mail a.b@shop.example now"), (None, "no mail"), (5, "mail c@shop.example"), (5, "c@shop.example first"), (5, None), (None, None)]
+    got = {(r.doc_id, r.text, r.n_finds) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, "mail [EMAIL] now", 1), (None, "no mail", 0), (5, "mail [EMAIL]", 1), (5, "[EMAIL] first", 1), (5, None, 0), (None, None, 0)}
