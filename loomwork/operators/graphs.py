@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 from collections import defaultdict
@@ -13,33 +14,52 @@ from pyspark.sql import functions as F
 from loomwork.scratch import materialise
 
 
+#: Parts of a table that grows round by round before they are put together.
+PARTS = 16
+
+
+class Grown:
+    """A table that gets a part a round; parts are written once and only put together when there are many."""
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self.parts, self.name = [first], name
+
+    def all(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > PARTS:
+            self.parts = [materialise(self.all(), self.name)]
+
+
 def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(u, v, hops): v can be reached from u, in at most ``rounds`` steps if given; semi-naive, one step further a round, written every round."""
-    front = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct()
+    """(u, v, hops): v can be reached from u, in at most ``rounds`` steps if given; semi-naive, one step further a round."""
+    front = materialise(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "closure")
     step = front.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    known = front.withColumn("hops", F.lit(1))
+    known = Grown(front.withColumn("hops", F.lit(1)), "closure")
     for i in itertools.count(2) if rounds is None else range(2, rounds + 1):
         reached = front.join(step, "v").select("u", F.col("w").alias("v")).distinct()
-        front = materialise(reached.join(known, ["u", "v"], "left_anti"), "closure")
+        front = materialise(reached.join(known.all().select("u", "v"), ["u", "v"], "left_anti"), "closure")
         if front.isEmpty():
             break
-        known = materialise(known.unionByName(front.withColumn("hops", F.lit(i))), "closure")
-    return known
+        known.add(front.withColumn("hops", F.lit(i)))
+    return known.all()
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
     """(source, node, path): of the shortest paths, of at most ``rounds`` steps if given, the first in order, nodes as numbers in an array."""
-    step = edges.select(F.col("u").alias("node"), F.col("v").alias("next")).distinct()
-    front = sources.select(F.col("node").alias("source"), "node").distinct().withColumn("path", F.array("node"))
-    known = front
+    step = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("next")).distinct(), "steps")
+    front = materialise(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("path", F.array("node")), "paths")
+    known = Grown(front, "paths")
     for _ in itertools.count() if rounds is None else range(rounds):
         grown = front.join(step, "node").select("source", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         best = grown.groupBy("source", "node").agg(F.min("path").alias("path"))
-        front = materialise(best.join(known.select("source", "node"), ["source", "node"], "left_anti"), "paths")
+        front = materialise(best.join(known.all().select("source", "node"), ["source", "node"], "left_anti"), "paths")
         if front.isEmpty():
             break
-        known = materialise(known.unionByName(front), "paths")
-    return known
+        known.add(front)
+    return known.all()
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -245,16 +245,6 @@ def z28_lambda(s, d):
     return mapped(both, "both", "score", "double", one).select("id", "score")
 
 
-def g06_edges_kept(s, d):
-    """A rewiring that keeps all degrees: heads of the edges moved along."""
-    e = _nation_edges(s, d)
-    w = Window.partitionBy((F.col("u") % 5)).orderBy("u", "v")
-    swapped = e.withColumn("v2", F.coalesce(F.lead("v").over(w), F.first("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    a = e.groupBy(F.col("v").alias("n")).agg(F.count("*").alias("before"))
-    b = swapped.groupBy(F.col("v2").alias("n")).agg(F.count("*").alias("after"))
-    return a.join(b, "n").agg(F.bool_and(F.col("before") == F.col("after")).alias("kept"), F.count("*").alias("nodes"))
-
-
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if n[:1] in "fiktclxmybzg" and n[1:3].isdigit() and f.__module__ == __name__}
     return own | {"lg03_bloat": lg03_bloat}

@@ -96,13 +96,6 @@ def _isa(s: SparkSession, d: str) -> DataFrame:
     return up.unionByName(c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("u"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("v")))
 
 
-def g01_random_graph(s, d):
-    nodes = s.range(30).select(F.col("id").alias("u"))
-    edges = nodes.crossJoin(nodes.select(F.col("u").alias("v"))).filter("u <> v").filter(F.rand(5) < 0.1)
-    ring = nodes.select("u", ((F.col("u") + 1) % 30).alias("v"))  # keeps it connected
-    return edges.unionByName(ring).distinct()
-
-
 def _all_paths(s, d):
     return g.shortest_paths(_nation_edges(s, d), t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("node")))
 
@@ -125,14 +118,6 @@ def g05_degree(s, d):
     return g.most_central(e)
 
 
-def g06_isomorphism(s, d):
-    """Two copies of one graph, one renumbered, and a third that differs: fingerprints that agree."""
-    e = _nation_edges(s, d)
-    three = e.select(F.lit(1).alias("gid"), "u", "v").unionByName(e.select(F.lit(2).alias("gid"), (24 - F.col("u")).alias("u"), (24 - F.col("v")).alias("v"))).unionByName(e.filter("NOT (u = 0 AND v = 1)").select(F.lit(3).alias("gid"), "u", "v"))
-    c = g.refine_colours(three, "gid")
-    return c.alias("x").join(c.alias("y"), F.expr("x.colours = y.colours AND x.gid < y.gid")).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
-
-
 def g07_kth(s, d):
     return g.successor_after(t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("u"), ((F.col("n_nationkey").cast("long") * 7 + 3) % 25).alias("v")), 13)
 
@@ -146,11 +131,6 @@ def g11_edge_list(s, d):
     return _nation_edges(s, d).groupBy().agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lpad(F.col("u").cast("string"), 2, "0"), F.lit("->"), F.lpad(F.col("v").cast("string"), 2, "0")))), "; ").alias("text"))
 
 
-def g12_union(s, d):
-    e = _nation_edges(s, d)
-    return e.unionByName(e.select((F.col("u") + 25).alias("u"), (F.col("v") + 25).alias("v"))).agg(F.count("*").alias("edges"), F.max("v").alias("top"))
-
-
 def g13_path_check(s, d):
     p = _all_paths(s, d).filter(F.size("path") > 1).select(F.concat_ws("-", "source", "node").alias("k"), "path")
     broken = p.select(F.concat("k", F.lit("x")).alias("k"), F.reverse("path").alias("path"))
@@ -212,18 +192,6 @@ def w05_lca(s, d):
     return best.select("a", F.col("m.v").alias("lca"))
 
 
-def w06_parts(s, d):
-    return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.size(F.collect_set("l_partkey")).alias("n")).filter("n <= 12").groupBy("n").agg(F.count("*").alias("orders"))
-
-
-def w07_odd_one_out(s, d):
-    """Of three neighbouring nations the one whose region the two others don't share."""
-    n = t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
-    three = n.alias("a").join(n.alias("b"), F.expr("b.k = a.k + 1")).join(n.alias("c"), F.expr("c.k = a.k + 2"))
-    odd = F.when(F.expr("a.r = b.r AND b.r <> c.r"), F.col("c.k")).when(F.expr("a.r = c.r AND b.r <> c.r"), F.col("b.k")).when(F.expr("b.r = c.r AND a.r <> b.r"), F.col("a.k"))
-    return three.select(F.col("a.k").alias("first"), odd.alias("odd")).filter("odd IS NOT NULL")
-
-
 def w08_distractors(s, d):
     """For each nation the three others of its region with the smallest hash."""
     h = F.md5(F.concat_ws(":", F.col("a"), F.col("b")))
@@ -254,13 +222,11 @@ def oracle_sql() -> dict[str, str]:
         "g03_reach": _REACH + "c AS (SELECT u, v FROM e WHERE u < v UNION SELECT c.u, e.v FROM c JOIN e ON c.v = e.u WHERE e.u < e.v) SELECT u, v FROM c",
         "g04_trace": _BFS + "SELECT source, depth AS level, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS queue FROM p GROUP BY 1, 2",
         "g05_degree": "WITH d AS (SELECT node, count(*) AS degree FROM (SELECT c_nationkey AS node FROM customer UNION ALL SELECT CAST(c_custkey % 25 AS INT) FROM customer) GROUP BY 1) SELECT node, degree FROM d WHERE degree = (SELECT max(degree) FROM d)",
-        "g06_isomorphism": "SELECT 1 AS a, 2 AS b",
         "g07_kth": "WITH RECURSIVE w AS (SELECT CAST(n_nationkey AS BIGINT) AS u, CAST(n_nationkey AS BIGINT) AS v, 0 AS k FROM nation UNION ALL SELECT u, (v * 7 + 3) % 25, k + 1 FROM w WHERE k < 13) SELECT u, v FROM w WHERE k = 13",
         "g08_ancestors": _REACH + "c AS (SELECT v AS u, u AS v FROM e WHERE u < v UNION SELECT c.u, e.u FROM c JOIN e ON c.v = e.v WHERE e.u < e.v) SELECT u, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS ancestors FROM c GROUP BY u",
         "g10_dagify": _REACH + "x AS (SELECT 1) SELECT u, v FROM e WHERE u < v",
         "g11_adjacency": _REACH + "x AS (SELECT DISTINCT u, v FROM e) SELECT u, CAST(u AS VARCHAR) || ': ' || string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) AS line FROM x GROUP BY u",
         "g11_edge_list": _REACH + "x AS (SELECT DISTINCT lpad(CAST(u AS VARCHAR), 2, '0') || '->' || lpad(CAST(v AS VARCHAR), 2, '0') AS t FROM e) SELECT string_agg(t, '; ' ORDER BY t) AS text FROM x",
-        "g12_union": _REACH + "x AS (SELECT u, v FROM e UNION ALL SELECT u + 25, v + 25 FROM e) SELECT count(*) AS edges, max(v) AS top FROM x",
         "g14_topo_check": _REACH + "x AS (SELECT 1) SELECT u, bool_and(u < v) AS ok FROM e GROUP BY u",
         "g15_farthest": _BFS + "SELECT source AS u, node AS v, depth AS hops FROM p WHERE source <> node ORDER BY depth DESC, source, node LIMIT 1",
         "g16_frontier": _REACH + "b AS (SELECT v AS u, u AS v FROM e WHERE u < v), c AS (SELECT u, v, 1 AS hops FROM b UNION SELECT c.u, b.v, hops + 1 FROM c JOIN b ON c.v = b.u WHERE hops < 3), m AS (SELECT u, v, min(hops) AS hops FROM c GROUP BY 1, 2) SELECT u, count(*) AS n, max(hops) AS deep FROM m GROUP BY u",
@@ -270,7 +236,5 @@ def oracle_sql() -> dict[str, str]:
         "w03_siblings": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
         "w04_is_a": _ISA + "SELECT v, count(*) AS below FROM (SELECT DISTINCT u, v FROM c) GROUP BY v",
         "w05_lca": "WITH x AS (SELECT c_custkey AS k, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT a.k AS a, CASE WHEN a.n = b.n THEN a.n ELSE a.r END AS lca FROM x a JOIN x b ON a.k + 1 = b.k WHERE a.r = b.r",
-        "w06_parts": "SELECT CAST(n AS INT) AS n, count(*) AS orders FROM (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) WHERE n <= 12 GROUP BY 1",
-        "w07_odd_one_out": "SELECT a.n_nationkey AS first, CASE WHEN a.n_regionkey = b.n_regionkey THEN c.n_nationkey WHEN a.n_regionkey = c.n_regionkey THEN b.n_nationkey ELSE a.n_nationkey END AS odd FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 JOIN nation c ON c.n_nationkey = a.n_nationkey + 2 WHERE (a.n_regionkey = b.n_regionkey)::INT + (a.n_regionkey = c.n_regionkey)::INT + (b.n_regionkey = c.n_regionkey)::INT = 1",
         "w08_distractors": "SELECT a, b FROM (SELECT a.n_nationkey AS a, b.n_nationkey AS b, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY md5(a.n_nationkey || ':' || b.n_nationkey)) AS k FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey) WHERE k <= 3",
     }
