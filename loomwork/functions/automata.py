@@ -1,4 +1,4 @@
-"""Regular expressions over a small alphabet, compared by derivatives."""
+"""Regular expressions over a small alphabet, compared by partial derivatives."""
 
 from __future__ import annotations
 
@@ -78,32 +78,33 @@ def empty(t: tuple) -> bool:
 
 
 @lru_cache(maxsize=100_000)
-def derive(t: tuple, c: str) -> tuple:
-    """What must follow after the letter."""
+def after(t: tuple, c: str) -> frozenset:
+    """What may follow after the letter: patterns of which one must match, never more kinds than the pattern has letters."""
     if t[0] == "c":
-        return ("e",) if c in t[1] else ("0",)
+        return frozenset([("e",)]) if c in t[1] else frozenset()
     if t[0] == "|":
-        return _alt(derive(t[1], c), derive(t[2], c))
+        return after(t[1], c) | after(t[2], c)
     if t[0] == "*":
-        return _cat(derive(t[1], c), t)
+        return frozenset(_cat(x, t) for x in after(t[1], c))
     if t[0] == ".":
-        first = _cat(derive(t[1], c), t[2])
-        return _alt(first, derive(t[2], c)) if empty(t[1]) else first
-    return ("0",)
+        first = frozenset(_cat(x, t[2]) for x in after(t[1], c))
+        return first | after(t[2], c) if empty(t[1]) else first
+    return frozenset()
 
 
 def witness(left: str, right: str) -> str | None:
     """Shortest text, the first in order, that exactly one of the patterns matches; None where they are equal."""
-    front, seen = [("", parse(left), parse(right))], set()
+    front = [("", frozenset([parse(left)]), frozenset([parse(right)]))]
+    seen = {front[0][1:]}
     while front:
-        after = []
+        grown = []
         for text, a, b in front:
-            if empty(a) != empty(b):
+            if any(map(empty, a)) != any(map(empty, b)):
                 return text
             for c in ALPHABET:
-                pair = derive(a, c), derive(b, c)
+                pair = frozenset(y for x in a for y in after(x, c)), frozenset(y for x in b for y in after(x, c))
                 if pair not in seen:
                     seen.add(pair)
-                    after.append((text + c, *pair))
-        front = after
+                    grown.append((text + c, *pair))
+        front = grown
     return None

@@ -73,25 +73,11 @@ def t02_worlds(s, d):
     return e.select("user_id", fold.alias("x"))
 
 
-def t04_facts(s, d):
-    """Where suppliers of one nation stand to each other by their balance, each pair once."""
-    a = t(s, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"))
-    b = a.select("s_nationkey", F.col("a").alias("b"), F.col("x").alias("y"))
-    nxt = a.join(b, "s_nationkey").filter("a < b").groupBy("s_nationkey", "a", "x").agg(F.min(F.struct("b", "y")).alias("m"))
-    return nxt.select("a", F.col("m.b").alias("b"), F.when(F.col("x") < F.col("m.y"), "left of").when(F.col("x") > F.col("m.y"), "right of").otherwise("with").alias("rel"))
-
-
 def t06_distance(s, d):
     p = t(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 5).alias("x"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("y"))
     return p.select("n_nationkey", F.concat(F.lit("("), "x", F.lit(", "), "y", F.lit(")")).alias("final"), (F.abs(F.col("x") - 2) + F.abs(F.col("y") - 2)).alias("distance"))
 
 
-def t10_size_chain(s, d):
-    """Whether "larger than" facts can all hold: no part is larger than itself along them."""
-    e = _dag(s, d)
-    return e.agg((F.count_if(F.col("u") >= F.col("v")) == 0).alias("consistent"), F.count("*").alias("facts"))
-
-
 def t14_mentions(s, d):
     """Sentences about users: the name at first, a pronoun where the sentence before was about the same one."""
     e = t(s, d, "events").withColumn("day", F.to_date("ts"))
@@ -116,35 +102,6 @@ def c12_states(s, d):
 
 
 # grammars
-def l06_completions(s, d):
-    """Sentences of the bracket grammar of at most four signs."""
-    grown, out = s.range(1).select(F.lit("").alias("text")), None
-    for _ in range(4):
-        signs = F.explode(F.array(F.lit("x"), F.lit("("), F.lit(")"))).alias("c")
-        grown = grown.select("text", signs).select(F.concat("text", "c").alias("text"))
-        out = grown if out is None else out.unionByName(grown)
-    return mapped(out, "text", "ok", "boolean", lambda x: grammar.accepts(grammar.BRACKETS, "S", list(x))).filter("ok").select("text")
-
-
-def l09_continuation(s, d):
-    texts = t(s, d, "nation").select("n_nationkey", F.concat(F.repeat(F.lit("("), (F.col("n_nationkey") % 3).cast("int")), F.lit("x")).alias("prefix"))
-    return mapped(texts, "prefix", "next", "string", lambda x: "|".join(grammar.next_tokens(grammar.BRACKETS, "S", list(x)))).select("n_nationkey", "next")
-
-
-def l12_corrupt(s, d):
-    """Sentences with one bracket turned round are none any more."""
-    texts = t(s, d, "nation").select("n_nationkey", F.concat(F.repeat(F.lit("("), (F.col("n_nationkey") % 4 + 1).cast("int")), F.lit("x"), F.repeat(F.lit(")"), (F.col("n_nationkey") % 4 + 1).cast("int"))).alias("text"))
-    bad = texts.withColumn("bad", F.concat(F.lit(")"), F.expr("substring(text, 2)")))
-    ok = lambda x: grammar.accepts(grammar.BRACKETS, "S", list(x))
-    return mapped(mapped(bad, "text", "good_ok", "boolean", ok), "bad", "bad_ok", "boolean", ok).select("n_nationkey", "good_ok", "bad_ok")
-
-
-def x02_instances(s, d):
-    """Texts made to match a pattern, checked against it."""
-    n = t(s, d, "supplier").select("s_suppkey", F.concat(F.repeat(F.lit("ab"), (F.col("s_suppkey") % 4).cast("int")), F.lit("c")).alias("text"))
-    return n.select("s_suppkey", "text", F.col("text").rlike(r"\A(ab)*c\z").alias("ok"))
-
-
 # arithmetic and rewriting
 def m05_trace(s, d):
     """Solutions of x + y = a, x - y = b with the steps in words."""
@@ -158,15 +115,6 @@ def lg03_bloat(s, d):
     return n.filter(~F.col("rule").isin(0, 1, 2) | (F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 1) == "0")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def y03_anti_reduce(s, d):
-    """Terms made larger by an identity reduce to what they were."""
-    def one(n: int) -> bool:
-        base = exact.parse_lambda("\\y." + " ".join(["y"] * (n % 4 + 1)))
-        return exact.de_bruijn(exact.beta(("a", ("l", "w", ("v", "w")), base))) == exact.de_bruijn(exact.beta(base))
-
-    return mapped(t(s, d, "nation").select("n_nationkey"), "n_nationkey", "same", "boolean", one)
-
-
 def y07_fold_constants(s, d):
     """Constant parts of expressions folded."""
     e = t(s, d, "nation").select("n_nationkey", F.concat(F.lit("(2 * 3 + "), F.col("n_nationkey"), F.lit(") - 4")).alias("expr"))
@@ -183,68 +131,6 @@ def z08_list(s, d):
     return n.select("n_nationkey", F.when(read(a) == read(b), 1.0).otherwise(0.0).alias("score"))
 
 
-def z11_order(s, d):
-    """An order of numbers against the edges of a graph: 1 where none is inverted and all stand in it."""
-    e = _dag(s, d).withColumn("g", F.col("u") % 3)
-    return e.groupBy("g").agg(F.when(F.bool_and(F.col("u") < F.col("v")), 1.0).otherwise(0.0).alias("score"))
-
-
-def z13_synsets(s, d):
-    """F1 of the brands of neighbouring types."""
-    p = t(s, d, "part").groupBy("p_type").agg(F.collect_set("p_brand").alias("r"))
-    q = p.select(F.col("p_type").alias("other"), F.col("r").alias("a"))
-    j = p.join(q, F.col("p_type") < F.col("other"))
-    return j.select("p_type", "other", F.round(z.f1(F.size(F.array_intersect("a", "r")), F.size("a"), F.size("r")), 6).alias("score"))
-
-
-def z19_regex(s, d):
-    """1 / (1 + extra letters) of a text that two patterns tell apart."""
-    rows = s.createDataFrame([(1, "a?b?", "(a|b)?", "ab"), (2, "a?b?", "(a|b)?", "abb"), (3, "[a-c]+", "a|b|c", "abc")], "id int, a string, b string, answer string")
-    both = rows.withColumn("both", F.concat_ws(" ", "a", "b"))
-    w = mapped(both, "both", "witness", "string", lambda x: automata.witness(*x.split(" ")))
-    apart = F.expr("regexp_like(answer, concat('^(?:', a, ')$')) <> regexp_like(answer, concat('^(?:', b, ')$'))")
-    return w.select("id", F.when(apart, F.round(1.0 / (1 + F.length("answer") - F.length("witness")), 6)).otherwise(0.0).alias("score"))
-
-
-def z21_blanks(s, d):
-    """0.3 and 0.6 of the accuracy where the filled text is a sentence, 0.15 of it where not."""
-    n = t(s, d, "nation").select("n_nationkey", F.concat(F.lit("("), F.when(F.col("n_nationkey") % 3 == 0, "x").when(F.col("n_nationkey") % 3 == 1, "()").otherwise("(("), F.lit(")")).alias("text"))
-    ok = mapped(n, "text", "ok", "boolean", lambda x: grammar.accepts(grammar.BRACKETS, "S", list(x)))
-    acc = F.when(F.col("n_nationkey") % 3 == 0, 1.0).otherwise(0.5)
-    return ok.select("n_nationkey", F.round(F.when(F.col("ok"), 0.3 + 0.6 * acc).otherwise(0.15 * acc), 6).alias("score"))
-
-
-def z22_recurrence(s, d):
-    """Share of right terms of a rule, shortened by its length; under a half nothing."""
-    def one(n: int) -> float:
-        want, got = [n, n + 2], [n, n + 2]
-        for _ in range(8):
-            want.append(2 * want[-1] - want[-2])
-            got.append(got[-1] + (2 if n % 3 else 3))
-        base = sum(a == b for a, b in zip(want, got, strict=True)) / len(want)
-        return round(base if base >= 0.5 else 0.0, 6)
-
-    return mapped(t(s, d, "nation").select("n_nationkey"), "n_nationkey", "score", "double", one)
-
-
-def z27_plan(s, d):
-    """Plans with a tag: valid, broken, unreadable."""
-    n = t(s, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, "(move a b)").when(F.col("n_nationkey") % 3 == 1, "(move b b)").otherwise("move").alias("step"))
-    m = F.regexp_extract("step", r"^\((\w+) (\w+) (\w+)\)$", 2)
-    return n.select("n_nationkey", F.when(m == "a", 1.0).when(m != "", 0.1).otherwise(0.0).alias("score"), F.when(m == "a", "valid").when(m != "", "broken").otherwise("unreadable").alias("tag"))
-
-
-def z28_lambda(s, d):
-    rows = s.createDataFrame([(1, "\\x.x", "\\y.y"), (2, "\\x.\\y.y", "\\a.\\b.a"), (3, "(\\x.x) z", "z")], "id int, a string, b string")
-    both = rows.withColumn("both", F.to_json(F.struct("a", "b")))
-
-    def one(x: str) -> float:
-        v = json.loads(x)
-        return 1.0 if len({exact.de_bruijn(exact.beta(exact.parse_lambda(v[k]))) for k in "ab"}) == 1 else 0.0
-
-    return mapped(both, "both", "score", "double", one).select("id", "score")
-
-
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if n[:1] in "fiktclxmybzg" and n[1:3].isdigit() and f.__module__ == __name__}
     return own | {"lg03_bloat": lg03_bloat}
@@ -259,24 +145,12 @@ def oracle_sql() -> dict[str, str]:
         "f14_keys": "SELECT max(n) AS most, count(*) AS keys FROM (SELECT count(*) AS n FROM eval_item GROUP BY answer)",
         "i02_claims": "SELECT DISTINCT file_key FROM manifest WHERE file_key NOT IN (SELECT file_key FROM manifest WHERE s = 'done' OR (SELECT max(t) FROM manifest) - t < 900)",
         "t02_worlds": "WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 3 - 1 AS dx FROM events), w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(4 AS BIGINT) AS x FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT w.user_id, o.k, CASE WHEN w.x + o.dx BETWEEN 0 AND 9 THEN w.x + o.dx ELSE w.x END FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) SELECT user_id, CAST(arg_max(x, k) AS INT) AS x FROM w GROUP BY 1",
-        "t04_facts": "WITH p AS (SELECT a.s_suppkey AS a, min(b.s_suppkey) AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY 1) SELECT p.a, p.b, CASE WHEN x.s_acctbal < y.s_acctbal THEN 'left of' WHEN x.s_acctbal > y.s_acctbal THEN 'right of' ELSE 'with' END AS rel FROM p JOIN supplier x ON x.s_suppkey = p.a JOIN supplier y ON y.s_suppkey = p.b",
         "t06_distance": "SELECT n_nationkey, '(' || n_nationkey % 5 || ', ' || n_nationkey // 5 || ')' AS final, abs(n_nationkey % 5 - 2) + abs(n_nationkey // 5 - 2) AS distance FROM nation",
         "t14_mentions": "SELECT event_id, CASE WHEN lag(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) = user_id THEN 'they' ELSE 'user ' || user_id END AS np FROM events",
         "c12_trace": "SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS held, count(*) AS steps FROM lineitem GROUP BY 1",
         "c12_states": "SELECT *, 'after line ' || step || ': ' || coalesce(CAST(held AS VARCHAR), 'nothing') || ' held' AS state FROM (SELECT l_orderkey, count(*) OVER w AS step, CAST(sum(l_quantity) OVER w AS BIGINT) AS held FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))",
-        "l06_completions": "SELECT * FROM (VALUES ('x'), ('()'), ('xx'), ('(x)'), ('x()'), ('()x'), ('xxx'), ('xxxx'), ('(())'), ('()()'), ('(xx)'), ('(x)x'), ('x(x)'), ('xx()'), ('x()x'), ('()xx')) v(text)",
-        "l09_continuation": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '(|x|STOP' ELSE '(|)|x' END AS next FROM nation",
-        "l12_corrupt": "SELECT n_nationkey, true AS good_ok, false AS bad_ok FROM nation",
-        "x02_instances": "SELECT s_suppkey, repeat('ab', CAST(s_suppkey % 4 AS INT)) || 'c' AS text, true AS ok FROM supplier",
         "m05_trace": "SELECT n_nationkey, '2x = ' || (n_nationkey + n_regionkey) || '; x = ' || printf('%.1f', (n_nationkey + n_regionkey) / 2.0) AS steps FROM nation",
         "lg03_bloat": "SELECT p_partkey % 5 AS rule, count(*) AS n FROM part WHERE p_partkey % 5 > 2 OR substr(md5(CAST(p_partkey AS VARCHAR)), 1, 1) = '0' GROUP BY 1",
-        "y03_anti_reduce": "SELECT n_nationkey, true AS same FROM nation",
         "y07_fold_constants": "SELECT n_nationkey, CAST(n_nationkey + 2 AS VARCHAR) AS folded FROM nation",
         "z08_list": "SELECT n_nationkey, CASE WHEN n_regionkey = n_nationkey % 5 THEN 1.0 ELSE 0.0 END AS score FROM nation",
-        "z13_synsets": "WITH p AS (SELECT p_type, list(DISTINCT p_brand) AS r FROM part GROUP BY 1) SELECT a.p_type, b.p_type AS other, round(2.0 * len(list_intersect(a.r, b.r)) / (len(a.r) + len(b.r)), 6) AS score FROM p a JOIN p b ON a.p_type < b.p_type",
-        "z19_regex": "SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.0::DOUBLE), (3, 0.5::DOUBLE)) v(id, score)",
-        "z21_blanks": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.075 END::DOUBLE AS score FROM nation",
-        "z22_recurrence": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM nation",
-        "z27_plan": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 ELSE 0.0 END::DOUBLE AS score, CASE n_nationkey % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'broken' ELSE 'unreadable' END AS tag FROM nation",
-        "z28_lambda": "SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.0::DOUBLE), (3, 1.0::DOUBLE)) v(id, score)",
     }

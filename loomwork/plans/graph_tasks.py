@@ -198,6 +198,35 @@ def g06_degrees(s, d):
     return counts(small_edges(s, d), "before").join(counts(changed_edges(s, d), "after"), ["gid", "o", "i"], "full").select("gid", "o", "i", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
+def z11_orders(s, d):
+    """Orders of the nodes as answers, rising and without the last node in one graph of four: 1 where no edge is inverted and none is missing."""
+    x = dag(s, d).groupBy("gid").agg(F.bool_and(F.col("u") < F.col("v")).alias("right"))
+    whole = F.col("gid") % 4 != 0
+    return nodes(s, d).select("gid").distinct().join(x, "gid", "left").select("gid", (whole & F.coalesce("right", F.lit(True))).cast("double").alias("score"))
+
+
+def t04_neighbours(s, d):
+    """Where suppliers of one nation stand to the next one by their balance."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    x = t(s, d, "supplier").select(F.col("s_suppkey").alias("a"), F.lead("s_suppkey").over(w).alias("b"), F.col("s_acctbal").alias("x"), F.lead("s_acctbal").over(w).alias("y")).filter("b IS NOT NULL")
+    return x.select("a", "b", F.when(F.col("x") < F.col("y"), "left of").when(F.col("x") > F.col("y"), "right of").otherwise("with").alias("rel"))
+
+
+def t10_cycles(s, d):
+    """Whether "larger than" facts of each graph can all hold: whether no node is above itself."""
+    loops = g.closure(_spread(edges(s, d))).filter("u = v").select(F.floor(F.col("u") / SPAN).alias("gid")).distinct().withColumn("bad", F.lit(True))
+    return nodes(s, d).select("gid").distinct().join(loops, "gid", "left").select("gid", F.col("bad").isNull().alias("consistent"))
+
+
+def z13_brands(s, d):
+    """F1 of the brands of each pair of types that share one, by counting shared brands."""
+    p = t(s, d, "part").select("p_type", "p_brand").distinct()
+    n = p.groupBy("p_type").agg(F.count("*").alias("n"))
+    hits = p.join(p.select(F.col("p_type").alias("other"), "p_brand"), "p_brand").filter("p_type < other").groupBy("p_type", "other").agg(F.count("*").alias("h"))
+    both = hits.join(n, "p_type").join(n.select(F.col("p_type").alias("other"), F.col("n").alias("m")), "other")
+    return both.select("p_type", "other", F.round(2.0 * F.col("h") / (F.col("n") + F.col("m")), 6).alias("score"))
+
+
 # hierarchy ------------------------------------------------------------
 def w03_cohyponyms(s, d):
     """How many others share the nearest class of each part, without forming the pairs."""
@@ -219,7 +248,7 @@ def w06_parts_all(s, d):
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if n[:1] in "gw" and n[1:3].isdigit()}
+    return {n: f for n, f in globals().items() if n[:1] in "gwtz" and n[1:3].isdigit()}
 
 
 _NODES = f"nd AS (SELECT gid, n, CAST(u AS INT) AS u FROM (SELECT CAST(c_custkey AS BIGINT) AS gid, CAST(5 + {_d('c_custkey', 100)} % 4 AS INT) AS n FROM customer), range(8) r(u) WHERE u < n)"
@@ -272,6 +301,10 @@ def oracle_sql() -> dict[str, str]:
         "g12_disjoint": f"WITH {_EDGES}, z AS (SELECT DISTINCT gid, n FROM nd) SELECT ed.gid, u, v FROM ed WHERE EXISTS (SELECT 1 FROM z WHERE z.gid = ed.gid + 1) UNION ALL SELECT ed.gid - 1, u + n, v + n FROM ed JOIN z ON z.gid = ed.gid - 1",
         "g06_exact": f"WITH {_CHANGED}, {perms}, x AS (SELECT gid, list(u * 5 + v ORDER BY u, v) AS l FROM se GROUP BY 1), y AS (SELECT gid, list(u * 5 + v ORDER BY u, v) AS l FROM ch GROUP BY 1), z AS (SELECT gid, bool_or(list_sort(list_transform(x.l, lambda i: p[i // 5 + 1] * 5 + p[i % 5 + 1])) = y.l) AS same FROM x JOIN y USING (gid), pm GROUP BY gid) SELECT c_custkey AS gid, coalesce(same, true) AS same FROM customer LEFT JOIN z ON gid = c_custkey",
         "g06_degrees": f"WITH {_CHANGED}, f AS (SELECT 'b' AS w, * FROM se UNION ALL SELECT 'a', * FROM ch), p AS (SELECT w, gid, x, sum(o) AS o, sum(i) AS i FROM (SELECT w, gid, u AS x, 1 AS o, 0 AS i FROM f UNION ALL SELECT w, gid, v, 0, 1 FROM f) GROUP BY 1, 2, 3) SELECT gid, CAST(o AS BIGINT) AS o, CAST(i AS BIGINT) AS i, count(*) FILTER (WHERE w = 'b') AS before, count(*) FILTER (WHERE w = 'a') AS after FROM p GROUP BY 1, 2, 3",
+        "z11_orders": f"WITH {_EDGES}, {dag}, r AS (SELECT gid, bool_and(u < v) AS ok FROM dg GROUP BY 1) SELECT c_custkey AS gid, CASE WHEN c_custkey % 4 <> 0 AND coalesce(ok, true) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM customer LEFT JOIN r ON gid = c_custkey",
+        "t04_neighbours": "SELECT a, b, CASE WHEN x < y THEN 'left of' WHEN x > y THEN 'right of' ELSE 'with' END AS rel FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER w AS b, s_acctbal AS x, lead(s_acctbal) OVER w AS y FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)) WHERE b IS NOT NULL",
+        "t10_cycles": f"WITH RECURSIVE {_EDGES}, c AS (SELECT gid, u, v FROM ed UNION SELECT c.gid, c.u, ed.v FROM c JOIN ed ON ed.gid = c.gid AND ed.u = c.v) SELECT c_custkey AS gid, NOT EXISTS (SELECT 1 FROM c WHERE c.gid = c_custkey AND u = v) AS consistent FROM customer",
+        "z13_brands": "WITH p AS (SELECT p_type, list(DISTINCT p_brand) AS r FROM part GROUP BY 1) SELECT a.p_type, b.p_type AS other, round(2.0 * len(list_intersect(a.r, b.r)) / (len(a.r) + len(b.r)), 6) AS score FROM p a JOIN p b ON a.p_type < b.p_type WHERE len(list_intersect(a.r, b.r)) > 0",
         "w03_cohyponyms": "SELECT p_partkey, count(*) OVER (PARTITION BY p_type) - 1 AS others FROM part",
         "w07_odd_parts": "SELECT p_partkey, odd FROM (SELECT p_partkey, CASE WHEN a = b AND b <> c THEN 3 WHEN a = c AND b <> c THEN 2 WHEN b = c AND a <> b THEN 1 END AS odd FROM (SELECT p_partkey, p_brand AS a, lead(p_brand, 1) OVER w AS b, lead(p_brand, 2) OVER w AS c FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey))) WHERE odd IS NOT NULL",
         "w06_parts_all": "SELECT n, count(*) AS orders FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY 1",

@@ -31,29 +31,6 @@ def _brackets(s, d) -> DataFrame:
     return t(s, d, "part").select("p_partkey", F.translate(bits, "01", "()").alias("text"))
 
 
-def l03_prune(s, d):
-    g = {"S": [("A", "B"), ("a",)], "A": [("a",)], "B": [("B", "b")], "C": [("c",)]}
-    rules = s.createDataFrame([("S",), ("A",), ("B",), ("C",)], "symbol string")
-    left = set(grammar.prune(g, "S"))
-    return rules.select("symbol", F.col("symbol").isin(sorted(left)).alias("kept"))
-
-
-def l04_first(s, d):
-    sets = grammar.first_sets({"S": [("A", "b")], "A": [("a",), ()]})
-    return s.createDataFrame([(k, ",".join(sorted(v))) for k, v in sets.items()], "symbol string, first string")
-
-
-def l05_next_tokens(s, d):
-    return mapped(_brackets(s, d), "text", "next", "string", lambda x: "|".join(grammar.next_tokens(grammar.BRACKETS, "S", list(x[:6]))))
-
-
-def l07_parse_label(s, d):
-    """How many trees n+n+...+n has."""
-    n = t(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 6).alias("k"))
-    texts = n.withColumn("text", F.concat(F.lit("n"), F.repeat(F.lit("+n"), F.col("k"))))
-    return mapped(texts, "text", "parses", "int", lambda x: grammar.parses(grammar.AMBIGUOUS, "E", list(x)))
-
-
 def l08_bracket_depth(s, d):
     one = _brackets(s, d).select("p_partkey", F.posexplode(F.split("text", "")).alias("pos", "c"))
     w = Window.partitionBy("p_partkey").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,13 +50,6 @@ def l10_earley_error(s, d):
     return mapped(_brackets(s, d), "text", "error", "int", lambda x: grammar.first_error(grammar.BRACKETS, "S", list(x)))
 
 
-def l11_blank_fill(s, d):
-    """Part brands whose size hint leaves one candidate."""
-    p = t(s, d, "part").select("p_partkey", "p_brand", "p_size")
-    only = p.groupBy("p_brand", "p_size").agg(F.count("*").alias("n"), F.min("p_partkey").alias("p_partkey")).filter("n = 1")
-    return only.select("p_brand", "p_size", "p_partkey")
-
-
 # patterns -------------------------------------------------------------
 def x01_fullmatch(s, d):
     return t(s, d, "part").agg(F.count_if(F.col("p_name").rlike(r"\A(?:[a-z]+ [a-z]+.*)\z")).alias("n"), F.count_if(F.col("p_brand").rlike(r"\A(?:Brand#[1-3]\d)\z")).alias("m"))
@@ -91,26 +61,9 @@ def x03_examples(s, d):
     return t(s, d, "part").groupBy("p_type").agg(F.count_if(hit).alias("positive"), F.count_if(~hit).alias("negative"), F.min(F.when(hit, F.col("p_partkey"))).alias("first"))
 
 
-def x04_fuzzy(s, d):
-    """Fewest errors with which a pattern matches a nation's name in full; each error more costs a power."""
-    import regex
-
-    def run(frames):
-        forms = [regex.compile(rf"(?:[A-Z]+IA){{e<={e}}}") for e in range(11)]
-        for pdf in frames:
-            yield pd.DataFrame({"n_nationkey": pdf["n_nationkey"], "errors": [next((e for e, f in enumerate(forms) if f.fullmatch(x)), None) for x in pdf["n_name"]]}).astype({"errors": "Int32"})
-
-    return t(s, d, "nation").select("n_nationkey", "n_name").mapInPandas(run, "n_nationkey int, errors int")
-
-
 _PATTERNS = [("a*b", "a*b?b"), ("(ab)*", "(ab)*(ab)?"), ("[a-c]+", "a|b|c"), ("a+", "aa*"), ("a?b?", "(a|b)?"), ("(a|b)*", "(a*b*)*")]
 
 
-def x05_equivalence(s, d):
-    rows = s.createDataFrame([(i, a, b, f"{a} {b}") for i, (a, b) in enumerate(_PATTERNS)], "id int, a string, b string, both string")
-    return mapped(rows, "both", "witness", "string", lambda x: automata.witness(*x.split(" "))).select("id", F.col("witness").isNull().alias("equal"), "witness")
-
-
 def x06_strip(s, d):
     c = F.concat(F.lit("```^"), F.col("n_name"), F.lit("$```"))
     return t(s, d, "nation").select("n_nationkey", F.regexp_replace(F.regexp_replace(c, r"^`+|`+$", ""), r"^\^|\$$", "").alias("core"))
@@ -268,25 +221,6 @@ def _status(c: str) -> Column:
     return F.when(F.col(c) % 2 == 0, "S").otherwise("U")
 
 
-def lg02_nli_label(s, d):
-    n = t(s, d, "nation").select("n_nationkey", _status("n_nationkey").alias("with_h"), _status("n_regionkey").alias("with_not_h"))
-    both = F.concat("with_h", "with_not_h")
-    return n.select("n_nationkey", F.when(both == "SU", "entailment").when(both == "SS", "neutral").when(both == "US", "contradiction").otherwise("paradox").alias("label"))
-
-
-def lg04_necessity(s, d):
-    """Clauses over three truth values: which premise is needed so that no world is left."""
-    b = lambda n: s.range(2).select((F.col("id") == 1).alias(n))
-    worlds = b("a").crossJoin(b("b")).crossJoin(b("c"))
-    clauses = [(0, "a OR b"), (1, "NOT a"), (2, "NOT b"), (3, "a OR b OR c")]
-    out = None
-    for k, _ in clauses:
-        rest = " AND ".join(f"({x})" for i, x in clauses if i != k)
-        one = worlds.agg(F.count_if(F.expr(rest)).alias("worlds")).select(F.lit(k).alias("clause"), (F.col("worlds") > 0).alias("needed"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def lg05_verbalise(s, d):
     """Names in a text replaced, the longest first."""
     table = F.array(F.struct(F.lit("p10").alias("k"), F.lit("tall").alias("v")), F.struct(F.lit("p1").alias("k"), F.lit("kind").alias("v")))
@@ -312,34 +246,6 @@ def lg11_normalise(s, d):
 
 
 # rewriting ------------------------------------------------------------
-def y01_beta(s, d):
-    def one(n: int) -> str:
-        inner = "(\\f.\\x." + "f (" * (n % 5) + "x" + ")" * (n % 5) + ") (\\y.s y) z"
-        out = exact.beta(exact.parse_lambda(inner))
-        return None if out is None else exact.de_bruijn(out)
-
-    return mapped(t(s, d, "nation").select("n_nationkey"), "n_nationkey", "normal", "string", one)
-
-
-def y02_alpha(s, d):
-    rows = s.createDataFrame([(1, "\\x.\\y.x y", "\\a.\\b.a b"), (2, "\\x.\\y.x", "\\x.\\y.y"), (3, "\\x.x z", "\\w.w z")], "id int, a string, b string")
-    form = lambda x: exact.de_bruijn(exact.parse_lambda(x))
-    return mapped(mapped(rows, "a", "fa", "string", form), "b", "fb", "string", form).select("id", (F.col("fa") == F.col("fb")).alias("same"))
-
-
-def y04_mgu(s, d):
-    rows = s.createDataFrame([(1, "f(?x,g(?y))", "f(a,g(?x))"), (2, "f(?x,?x)", "f(a,b)"), (3, "f(?x)", "f(g(?x))")], "id int, a string, b string")
-    import json
-
-    both = rows.withColumn("both", F.concat_ws(" ", "a", "b"))
-    return mapped(both, "both", "mgu", "string", lambda x: (lambda u: None if u is None else json.dumps(u))(exact.unify(*x.split(" ")))).select("id", "mgu")
-
-
-def y06_string_ops(s, d):
-    c = F.col("n_name")
-    return t(s, d, "nation").select("n_nationkey", F.regexp_replace(c, "^([^A]*)A", "$1_").alias("first_a"), F.substring(c, 2, 3).alias("mid"), F.instr(c, "A").alias("at"))
-
-
 def queries() -> dict:
     return {n: f for n, f in globals().items() if (n[:1] in "lxdmy" and n[1:3].isdigit()) or n[:2] == "lg" and n[2:4].isdigit()}
 
@@ -350,15 +256,10 @@ _BITS = "WITH p AS (SELECT p_partkey, replace(replace(lpad(bin(p_partkey), 10, '
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "l03_prune": "SELECT * FROM (VALUES ('S', true), ('A', false), ('B', false), ('C', false)) v(symbol, kept)",
-        "l04_first": "SELECT * FROM (VALUES ('S', 'a,b'), ('A', ',a')) v(symbol, first)",
-        "l07_parse_label": "SELECT n_nationkey, n_nationkey % 6 AS k, 'n' || repeat('+n', n_nationkey % 6) AS text, CAST(CASE WHEN n_nationkey % 6 < 2 THEN 1 ELSE 2 END AS INT) AS parses FROM nation",
         "l08_bracket_depth": _BITS + "SELECT p_partkey, CAST(max(depth) AS BIGINT) AS deepest, CAST(min(depth) AS BIGINT) AS lowest, CAST(arg_max(depth, pos) AS BIGINT) AS last FROM w GROUP BY 1",
         "l10_first_error": _BITS + "SELECT p_partkey, CAST(min(pos) FILTER (WHERE depth < 0) AS INT) AS error FROM w GROUP BY 1",
-        "l11_blank_fill": "SELECT p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 HAVING count(*) = 1",
         "x01_fullmatch": r"SELECT count(*) FILTER (WHERE regexp_full_match(p_name, '[a-z]+ [a-z]+.*')) AS n, count(*) FILTER (WHERE regexp_full_match(p_brand, 'Brand#[1-3]\d')) AS m FROM part",
         "x03_examples": r"SELECT p_type, count(*) FILTER (WHERE regexp_full_match(CAST(p_partkey AS VARCHAR), '1\d*[02468]')) AS positive, count(*) FILTER (WHERE NOT regexp_full_match(CAST(p_partkey AS VARCHAR), '1\d*[02468]')) AS negative, min(p_partkey) FILTER (WHERE regexp_full_match(CAST(p_partkey AS VARCHAR), '1\d*[02468]')) AS first FROM part GROUP BY 1",
-        "x05_equivalence": "SELECT * FROM (VALUES (0, false, 'bb'), (1, true, NULL), (2, false, 'aa'), (3, true, NULL), (4, false, 'ab'), (5, true, NULL)) v(id, equal, witness)",
         "x06_strip": "SELECT n_nationkey, n_name AS core FROM nation",
         "x07_tag": "SELECT n_nationkey, n_name AS answer FROM nation",
         "d01_numbered": _LINES_SQL + "SELECT item_id, CAST(pos AS INT) AS pos, rpad(CAST(pos + 1 AS VARCHAR), 4, ' ') || ' | ' || line AS text FROM l",
@@ -374,13 +275,8 @@ def oracle_sql() -> dict[str, str]:
         "m06_recurrence": "WITH RECURSIVE u AS (SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b, 1 AS k FROM nation UNION ALL SELECT n_nationkey, b, 2 * b - a + 3, k + 1 FROM u WHERE k < 19) SELECT n_nationkey, b AS u19 FROM u WHERE k = 19",
         "m07_nonconstant": "SELECT count(*) FILTER (WHERE n > 1) AS n, count(*) FILTER (WHERE c > 1) AS several FROM (SELECT count(DISTINCT l_linenumber) AS n, count(*) AS c FROM lineitem GROUP BY l_orderkey)",
         "m08_op_count": r"SELECT item_id, len(regexp_extract_all(prompt, '[+*/-]')) AS ops, len(regexp_extract_all(prompt, '\d+')) AS numbers FROM eval_item",
-        "lg02_nli_label": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey % 2 = 1 THEN 'entailment' WHEN n_nationkey % 2 = 0 THEN 'neutral' WHEN n_regionkey % 2 = 0 THEN 'contradiction' ELSE 'paradox' END AS label FROM nation",
-        "lg04_necessity": "SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, false)) v(clause, needed)",
         "lg05_verbalise": "SELECT n_nationkey, replace(replace('p1 & p10 & n' || n_nationkey, 'p10', 'tall'), 'p1', 'kind') AS text FROM nation",
         "lg08_derivation": "SELECT n_nationkey AS u, n_regionkey AS v FROM nation UNION ALL SELECT 0, n_nationkey FROM nation",
         "lg10_proof_window": "SELECT l_orderkey, CAST(ceil(log2(count(*) + 1) - 1 - 1e-9) AS BIGINT) AS depth FROM lineitem GROUP BY 1",
         "lg11_normalise": "SELECT n_nationkey, 'p(V,Y)&q(V)' AS formula FROM nation",
-        "y02_alpha": "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) v(id, same)",
-        "y04_mgu": "SELECT * FROM (VALUES (1, '{\"?x\": \"a\", \"?y\": \"a\"}'), (2, NULL), (3, NULL)) v(id, mgu)",
-        "y06_string_ops": "SELECT n_nationkey, regexp_replace(n_name, 'A', '_') AS first_a, substr(n_name, 2, 3) AS mid, CAST(position('A' IN n_name) AS INT) AS at FROM nation",
     }

@@ -114,6 +114,11 @@ def c10_plan_check(s, d):
     return c.select("id", "answer", planning.plan_score(F.col("init"), F.col("want"), F.col("avoid"), steps).alias("score"))
 
 
+def z27_plan(s, d):
+    """The score of each plan with a word for it."""
+    return c10_plan_check(s, d).select("id", "score", F.when(F.col("score") == 1, "valid").when(F.col("score") > 0, "bad_semantics").otherwise("plan parsing error").alias("tag"))
+
+
 def c12_plan_states(s, d):
     """The facts that hold after each step of the best plan."""
     probs = materialise(_problems(s, d), "problems")
@@ -247,7 +252,7 @@ def b14_bif(s, d):
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if n[:1] in "bc" and n[1:3].isdigit()}
+    return {n: f for n, f in globals().items() if n[:1] in "bcz" and n[1:3].isdigit()}
 
 
 _C = "CAST(c_custkey AS BIGINT)"
@@ -286,6 +291,17 @@ se AS (
       SELECT se.id, se.dom, (se.state & ~ga.cl) | ga.ad AS state, se.cost + 10000 + ga.no AS cost, trim(se.plan || ' ' || lpad(CAST(ga.no AS VARCHAR), 2, '0')) AS plan, se.depth + 1 AS depth, se.want, se.avoid
       FROM se JOIN ga ON ga.dom = se.dom AND (se.state & ga.pre) = ga.pre AND (se.state & ga.neg) = 0 WHERE NOT se.done AND se.depth < 20 AND ((se.state & ~ga.cl) | ga.ad) <> se.state)) WHERE rn = 1),
 best AS (SELECT id, min(cost) AS cost, arg_min(plan, (cost, plan)) AS plan FROM se WHERE (state & want) = want AND (state & avoid) = 0 GROUP BY 1)"""
+_CHECKED = f""",
+an AS (
+  SELECT ps.id, ps.dom, init, ps.want, ps.avoid, CASE {_d('id', 20)} % 5 WHEN 1 THEN p[1:len(p) - 1] WHEN 2 THEN list_reverse(p) WHEN 3 THEN list_append(p, '99') ELSE p END AS p
+  FROM (SELECT id, string_split(plan, ' ') AS p FROM best WHERE plan <> '') JOIN ps USING (id)),
+st AS (
+  SELECT id, dom, want, avoid, p, 0 AS k, init AS state, true AS ok, len(p) > 0 AS known FROM an
+  UNION ALL SELECT st.id, st.dom, want, avoid, p, k + 1, (state & ~cl) | ad, ok AND (state & pre) = pre AND (state & neg) = 0, known AND ga.no IS NOT NULL
+  FROM st LEFT JOIN ga ON ga.dom = st.dom AND ga.no = CAST(p[k + 1] AS INT) WHERE k < len(p)),
+sc AS (
+  SELECT id, array_to_string(list_transform(p, lambda x: 'act(' || CAST(x AS INT) || ')' || chr(10)), '') AS answer,
+    CASE WHEN NOT known THEN 0.0 WHEN ok AND (state & want) = want AND (state & avoid) = 0 THEN 1.0 ELSE 0.1 END::DOUBLE AS score FROM st WHERE k = len(p))"""
 _CSP = f"""
 pv AS (SELECT {_C} AS id, CAST(3 + {_d('c_custkey', 30)} % 2 AS INT) AS n FROM customer),
 vs AS (SELECT id, n, CAST(k AS INT) AS k, CAST(i AS INT) AS i FROM pv, range({CONSTRAINTS}) r(k), range(4) q(i) WHERE i < n),
@@ -334,6 +350,9 @@ jo AS (
         "c07_problem": f"WITH {_FLUENTS}{_PROBLEMS} SELECT id, dom, init, want, avoid FROM ps",
         "c08_positive": f"WITH {_GROUND} SELECT dom, no, pre | (neg << 12) AS pre, ad | (cl << 12) AS add, cl | (ad << 12) AS clear FROM ga",
         "c09_plan": f"WITH RECURSIVE {_GROUND}{_PROBLEMS}{_SEARCH} SELECT id, cost, coalesce(plan, '') AS plan FROM ps LEFT JOIN best USING (id)",
+        "c10_plan_check": f"WITH RECURSIVE {_GROUND}{_PROBLEMS}{_SEARCH}{_CHECKED} SELECT id, coalesce(answer, '') AS answer, score FROM sc",
+        "z27_plan": f"WITH RECURSIVE {_GROUND}{_PROBLEMS}{_SEARCH}{_CHECKED} SELECT id, score, CASE score WHEN 1.0 THEN 'valid' WHEN 0.1 THEN 'bad_semantics' ELSE 'plan parsing error' END AS tag FROM sc",
+        "c12_plan_states": f"WITH RECURSIVE {_GROUND}{_PROBLEMS}{_SEARCH}, st AS (SELECT ps.id, ps.dom, string_split(plan, ' ') AS p, 0 AS k, init AS state FROM best JOIN ps USING (id) WHERE plan <> '' UNION ALL SELECT st.id, st.dom, p, k + 1, (state & ~cl) | ad FROM st JOIN ga ON ga.dom = st.dom AND ga.no = CAST(p[k + 1] AS INT)) SELECT id, k AS step, state FROM st WHERE k > 0",
         "c01_text": f"WITH {_CSP} SELECT id, k, CASE kind WHEN 'alldiff' THEN 'AllDifferent(' || array_to_string(list_transform(idx, lambda i: 'x' || i), ', ') || ')' WHEN 'lin' THEN replace(s, '+ -', '- ') || ' ' || op || ' ' || rhs ELSE '(' || replace(s, '+ -', '- ') || ') % ' || md || ' == ' || rhs END AS text FROM cs JOIN (SELECT id, k, string_agg({text}, ' + ' ORDER BY i) AS s FROM va GROUP BY 1, 2) USING (id, k)",
         "c02_solve_all": f"WITH {_CSP} SELECT id, x FROM so",
         "c03_solve_min": f"WITH {_CSP} SELECT id, min(x) AS x FROM so GROUP BY 1",

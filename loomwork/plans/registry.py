@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import collection, extensions, further, graph_tasks, graphs, language, pipeline, problems, reasoning, relational, scoring
+from loomwork.plans import collection, extensions, further, grammar_tasks, graph_tasks, graphs, language, pipeline, problems, reasoning, relational, scoring
 
-FAMILIES = [pipeline, relational, graphs, reasoning, language, scoring, collection, further, extensions, problems, graph_tasks]
+FAMILIES = [pipeline, relational, graphs, reasoning, language, scoring, collection, further, extensions, problems, graph_tasks, grammar_tasks]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
