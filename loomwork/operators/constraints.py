@@ -1,4 +1,4 @@
-"""Finite constraint problems, a row each, solved by the engine's own expressions.
+"""Finite constraint problems, a row each, solved side by side in Arrow batches.
 
 A problem has an upper bound for each variable and constraints over some of
 them: ``lin`` (a weighted sum against a number), ``mod`` (a weighted sum modulo
@@ -9,9 +9,16 @@ assignments never grow.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.scratch import materialise
+
 CONSTRAINT = "struct<kind string, idx array<int>, coeffs array<int>, op string, rhs int, mod int>"
 
 
@@ -23,28 +30,53 @@ def holds(c: Column, x: Column) -> Column:
     return F.when(c["kind"] == "lin", lin).when(c["kind"] == "mod", F.pmod(total, c["mod"]) == c["rhs"]).otherwise(F.size(F.array_distinct(picked)) == F.size(picked))
 
 
-def solutions(problems: DataFrame, most_variables: int) -> DataFrame:
-    """(id, x) of every solution of problems (id, bounds, constraints)."""
-    grown = problems.select("id", "bounds", "constraints", F.array().cast("array<int>").alias("x"))
-    out = None
-    for k in range(most_variables + 1):
-        done = grown.filter(F.size("bounds") == k).select("id", "x")
-        out = done if out is None else out.unionByName(done)
-        if k == most_variables:
-            return out
-        more = grown.filter(F.size("bounds") > k).withColumn("v", F.explode(F.sequence(F.lit(0), F.element_at("bounds", k + 1))))
-        more = more.withColumn("x", F.concat("x", F.array("v"))).drop("v")
-        grown = more.filter(F.forall(F.filter("constraints", lambda c: F.array_max(c["idx"]) == k), lambda c: holds(c, F.col("x"))))
-    return out
+def solve(bounds: list[int], constraints: list[dict]) -> np.ndarray:
+    """All solutions of a problem in order, a row each."""
+    grown = np.zeros((1, 0), np.int64)
+    for k, most in enumerate(bounds):
+        n = len(grown)
+        grown = np.hstack([np.repeat(grown, most + 1, axis=0), np.tile(np.arange(most + 1), n)[:, None]])
+        for c in constraints:
+            if max(c["idx"]) != k:
+                continue
+            picked = grown[:, c["idx"]]
+            if c["kind"] == "alldiff":
+                ordered = np.sort(picked, axis=1)
+                kept = (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+            else:
+                total = picked @ np.array(c["coeffs"], np.int64)
+                kept = total % c["mod"] == c["rhs"] if c["kind"] == "mod" else _COMPARE[c["op"]](total, c["rhs"])
+            grown = grown[kept]
+    return grown
+
+
+#: Comparisons of linear constraints; fixed values.
+_COMPARE = {"==": operator.eq, "!=": operator.ne, "<=": operator.le, ">=": operator.ge}
+
+
+def solutions(problems: DataFrame) -> DataFrame:
+    """(id, x) of every solution of problems (id, bounds, constraints), a batch of rows for each problem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (bounds, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = solve(bounds, given or [])
+                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+                x = pa.ListArray.from_arrays(ends, pa.array(found.ravel().astype(np.int32)))
+                yield pa.record_batch([batch.column(0).take(pa.array(np.full(len(found), i))), x], names=["id", "x"])
+
+    kind = problems.schema["id"].dataType.simpleString()
+    return problems.select("id", "bounds", "constraints").mapInArrow(run, f"id {kind}, x array<int>")
 
 
-def answers(problems: DataFrame, most_variables: int, cap: int = 256) -> DataFrame:
+def answers(problems: DataFrame, cap: int = 256) -> DataFrame:
     """(id, mode, n, first, answer): all solutions in order, only the least where there are more than ``cap``, or UNSAT.
 
     The cap is the feature: what is asked for changes when solutions are many.
     No more of them are ever brought together than that.
     """
-    found = solutions(problems, most_variables).withColumn("text", F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))))
+    # read three times, and dear to find
+    found = materialise(solutions(problems), "solutions").withColumn("text", F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))))
     per = found.groupBy("id").agg(F.count("*").alias("n"), F.min("x").alias("first"))
     few = found.join(per.filter(F.col("n") <= cap).select("id"), "id", "left_semi").groupBy("id").agg(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"])).alias("all"))
     out = problems.select("id").join(per, "id", "left").join(few, "id", "left")

@@ -152,7 +152,8 @@ def c01_constraints(s, d):
 
 
 def _csp(s, d) -> DataFrame:
-    return c01_constraints(s, d).groupBy("id", "bounds").agg(F.array_sort(F.collect_list(F.struct("kind", "idx", "coeffs", "op", "rhs", "mod"))).alias("constraints"))
+    grouped = c01_constraints(s, d).groupBy("id", "bounds").agg(F.array_sort(F.collect_list(F.struct("kind", "idx", "coeffs", "op", "rhs", "mod"))).alias("constraints"))
+    return materialise(grouped, "constraints").repartition("id")
 
 
 def c01_text(s, d):
@@ -160,15 +161,15 @@ def c01_text(s, d):
 
 
 def c02_solve_all(s, d):
-    return constraints.solutions(_csp(s, d), 4).select("id", F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))).alias("x"))
+    return constraints.solutions(_csp(s, d)).select("id", F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))).alias("x"))
 
 
 def c03_solve_min(s, d):
-    return constraints.solutions(_csp(s, d), 4).groupBy("id").agg(F.min("x").alias("m")).select("id", F.concat_ws(",", F.transform("m", lambda v: v.cast("string"))).alias("x"))
+    return constraints.solutions(_csp(s, d)).groupBy("id").agg(F.min("x").alias("m")).select("id", F.concat_ws(",", F.transform("m", lambda v: v.cast("string"))).alias("x"))
 
 
 def c04_answers(s, d):
-    return constraints.answers(_csp(s, d), 4)
+    return constraints.answers(_csp(s, d))
 
 
 def c05_structure(s, d):

@@ -78,10 +78,39 @@ def test_plan_scores(spark):
 def test_constraints_and_the_cap(spark):
     rows = [(1, [9, 9, 9], []), (2, [1, 1], [("alldiff", [0, 1], None, None, None, None)]), (3, [2], [("mod", [0], [2], None, 1, 4)]), (4, [3, 3], [("lin", [0, 1], [1, -1], "==", 0, None), ("lin", [0], [-1], "<=", -2, None)])]
     df = spark.createDataFrame(rows, f"id int, bounds array<int>, constraints array<{constraints.CONSTRAINT}>")
-    got = {r.id: (r["mode"], r.n, r.answer) for r in constraints.answers(df, 3).collect()}
+    got = {r.id: (r["mode"], r.n, r.answer) for r in constraints.answers(df).collect()}
     assert got == {1: ("min", 1000, "0,0,0"), 2: ("all", 2, "0,1;1,0"), 3: ("UNSAT", 0, "UNSAT"), 4: ("all", 2, "2,2;3,3")}
 
 
+def test_solutions_meet_their_constraints(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        n = rng.randrange(1, 4)
+        some = lambda: sorted(rng.sample(range(n), rng.randrange(1, n + 1)))  # noqa: E731, B023
+        given = []
+        for _ in range(2):
+            idx = some()
+            kind = rng.choice(["lin", "mod", "alldiff"])
+            given.append((kind, idx, None if kind == "alldiff" else [rng.randrange(1, 4) for _ in idx], rng.choice(["==", "!=", "<=", ">="]) if kind == "lin" else None, rng.randrange(0, 4), rng.randrange(2, 5) if kind == "mod" else None))
+        rows.append((i, [rng.randrange(0, 4) for _ in range(n)], given))
+    df = spark.createDataFrame(rows, f"id int, bounds array<int>, constraints array<{constraints.CONSTRAINT}>")
+    found = constraints.solutions(df).join(df, "id").select("id", "x", F.forall("constraints", lambda c: constraints.holds(c, F.col("x"))).alias("ok")).collect()
+    assert all(r.ok for r in found)
+    total = 0
+    for _, bounds, given in rows:
+        for x in itertools.product(*[range(b + 1) for b in bounds]):
+            ok = True
+            for kind, idx, co, op, rhs, mod in given:
+                p = [x[i] for i in idx]
+                v = sum(a * y for a, y in zip(co, p)) if co else 0
+                ok = ok and (len(set(p)) == len(p) if kind == "alldiff" else v % mod == rhs if kind == "mod" else eval(f"{v} {op} {rhs}"))
+            total += ok
+    assert total == len(found)
+
+
 def test_elimination_equals_the_joint():
     rng = np.random.default_rng(2)
     for _ in range(25):
