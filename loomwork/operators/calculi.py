@@ -38,6 +38,18 @@ def rcc8(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     )
 
 
+def rcc8_box(ax0: Column, ax1: Column, ay0: Column, ay1: Column, bx0: Column, bx1: Column, by0: Column, by1: Column) -> Column:
+    """The region relation of two boxes, from those of their sides."""
+    x, y = rcc8(ax0, ax1, bx0, bx1), rcc8(ay0, ay1, by0, by1)
+    either = lambda *names: x.isin(*names) | y.isin(*names)
+    both = lambda *names: x.isin(*names) & y.isin(*names)
+    return (
+        F.when(either("DC"), "DC").when(either("EC"), "EC").when(both("EQ"), "EQ")
+        .when(both("EQ", "TPP", "NTPP"), F.when(both("NTPP"), "NTPP").otherwise("TPP"))
+        .when(both("EQ", "TPPi", "NTPPi"), F.when(both("NTPPi"), "NTPPi").otherwise("TPPi")).otherwise("PO")
+    )
+
+
 def coarse(a0: Column, a1: Column, b0: Column, b1: Column, low: str, mid: str, high: str) -> Column:
     """Before, overlapping or after along one axis."""
     return F.when(a1 <= b0, low).when(b1 <= a0, high).otherwise(mid)

@@ -406,11 +406,15 @@ def y04_unified(s, d):
     return worked(x, ["a", "b"], "mgu string", one)
 
 
-def y05_output(s, d):
-    """What small generated programs print."""
+def programs(s, d) -> DataFrame:
+    """(id, code, output): small generated programs and what they print."""
     a, b, c = ((draw("id", 280 + k) % 7 + 1).cast("string") for k in range(3))
-    code = F.concat(F.lit("x = "), a, F.lit("\nfor i in range("), b, F.lit("):\n    if i % "), c, F.lit(" == 0:\n        x += i * "), a, F.lit("\n    else:\n        x -= 1\nwhile x > 9:\n    x = x - "), b, F.lit("\nprint(x, 'even' if False else x % 2 == 0)" if False else "\nprint(x)"))
-    return worked(ids(s, d).select("id", code.alias("code")), ["code"], "output string", interpreter.run).select("id", "output")
+    code = F.concat(F.lit("x = "), a, F.lit("\nfor i in range("), b, F.lit("):\n    if i % "), c, F.lit(" == 0:\n        x += i * "), a, F.lit("\n    else:\n        x -= 1\nwhile x > 9:\n    x = x - "), b, F.lit("\nprint(x)"))
+    return worked(ids(s, d).select("id", code.alias("code")), ["code"], "output string", interpreter.run)
+
+
+def y05_output(s, d):
+    return programs(s, d).select("id", "output")
 
 
 def y06_synthesis(s, d):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators import bayes, constraints, planning
+from loomwork.operators import bayes, calculi, constraints, planning
 from loomwork.scratch import materialise
 from loomwork.scratch import table as t
 
@@ -188,6 +188,30 @@ def c05_structure(s, d):
     return links.union(added).select("id", "a", "b").distinct()
 
 
+def t05_follows(s, d):
+    """Whether a relation of two of three things on a line holds in all places 0 to 3 that some facts leave; null where they leave none."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 2), (0, 2))])
+    x = t(s, d, "customer").select(F.col("c_custkey").alias("id")).withColumn("f", F.explode(F.filter(F.sequence(F.lit(0), F.lit(1)), lambda f: (f == 0) | (draw("id", 80) % 3 > 0))))
+    fact = F.element_at(pairs, (draw("id", "f", 81) % 3 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(o) for o in ("<=", "==", ">=")]), (draw("id", "f", 82) % 3 + 1).cast("int"))
+    # "left of" is at most one less, "right of" at least one more
+    rhs = F.when(op == "<=", -1).when(op == ">=", 1).otherwise(0)
+    one = F.struct(F.lit("lin").alias("kind"), F.array(fact["a"], fact["b"]).alias("idx"), F.array(F.lit(1), F.lit(-1)).alias("coeffs"), op.alias("op"), rhs.alias("rhs"), F.lit(None).cast("int").alias("mod"))
+    worlds = constraints.solutions(x.groupBy("id").agg(F.collect_list(one).alias("constraints")).withColumn("bounds", F.array(*[F.lit(3)] * 3)))
+    asked = F.element_at(pairs, (draw("id", 83) % 3 + 1).cast("int"))
+    per = worlds.groupBy("id").agg(F.bool_and(F.element_at("x", asked["a"] + 1) < F.element_at("x", asked["b"] + 1)).alias("follows"))
+    return t(s, d, "customer").select(F.col("c_custkey").alias("id")).join(per, "id", "left")
+
+
+def k02_boxes(s, d):
+    """The region relation of two boxes, each of two intervals."""
+    n = lambda k, m: (draw("id", 85, k) % m).cast("int")
+    x = t(s, d, "customer").select(F.col("c_custkey").alias("id"))
+    for k, name in enumerate(("ax", "ay", "bx", "by")):
+        x = x.withColumn(f"{name}0", n(2 * k, 4)).withColumn(f"{name}1", F.col(f"{name}0") + 1 + n(2 * k + 1, 3))
+    return x.select("id", *x.columns[1:], calculi.rcc8_box(*[F.col(c) for c in ("ax0", "ax1", "ay0", "ay1", "bx0", "bx1", "by0", "by1")]).alias("rel"))
+
+
 # networks -------------------------------------------------------------
 VARIABLES = 5
 
@@ -253,7 +277,7 @@ def b14_bif(s, d):
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if n[:1] in "bcz" and n[1:3].isdigit()}
+    return {n: f for n, f in globals().items() if n[:1] in "bcktz" and n[1:3].isdigit()}
 
 
 _C = "CAST(c_custkey AS BIGINT)"
@@ -358,6 +382,8 @@ jo AS (
         "c02_solve_all": f"WITH {_CSP} SELECT id, x FROM so",
         "c03_solve_min": f"WITH {_CSP} SELECT id, min(x) AS x FROM so GROUP BY 1",
         "c04_answers": f"WITH {_CSP}, g AS (SELECT id, count(*) AS n, min(x) AS x, string_agg(x, ';' ORDER BY x) AS every FROM so GROUP BY 1) SELECT pv.id, CASE WHEN g.n IS NULL THEN 'UNSAT' WHEN g.n > 256 THEN 'min' ELSE 'all' END AS mode, coalesce(g.n, 0) AS n, CASE WHEN g.n IS NULL THEN 'UNSAT' WHEN g.n > 256 THEN x ELSE every END AS answer FROM pv LEFT JOIN g ON g.id = pv.id",
+        "t05_follows": f"WITH ii AS (SELECT {_C} AS id FROM customer), fa AS (SELECT id, CAST(f AS INT) AS f, [[1, 2], [2, 3], [1, 3]][CAST({_d('id', 'f', 81)} % 3 + 1 AS INT)] AS p, {_d('id', 'f', 82)} % 3 AS o FROM ii, range(2) r(f) WHERE f = 0 OR {_d('id', 80)} % 3 > 0), wo AS (SELECT [x, y, z] AS w FROM range(4) a(x), range(4) b(y), range(4) c(z)), ok AS (SELECT id, w FROM fa, wo GROUP BY id, w HAVING bool_and(CASE o WHEN 0 THEN w[p[1]] < w[p[2]] WHEN 1 THEN w[p[1]] = w[p[2]] ELSE w[p[1]] > w[p[2]] END)), qu AS (SELECT id, [[1, 2], [2, 3], [1, 3]][CAST({_d('id', 83)} % 3 + 1 AS INT)] AS q FROM ii) SELECT qu.id, bool_and(w[q[1]] < w[q[2]]) AS follows FROM qu LEFT JOIN ok USING (id) GROUP BY 1",
+        "k02_boxes": "WITH b AS (SELECT " + _C + " AS id, " + ", ".join(f"CAST({_d('c_custkey', 85, 2 * k)} % 4 AS INT) AS {v}0, CAST({_d('c_custkey', 85, 2 * k)} % 4 + 1 + {_d('c_custkey', 85, 2 * k + 1)} % 3 AS INT) AS {v}1" for k, v in enumerate(("ax", "ay", "bx", "by"))) + " FROM customer), r AS (SELECT *, least(ax1, bx1) - greatest(ax0, bx0) AS ox, least(ay1, by1) - greatest(ay0, by0) AS oy, ax0 >= bx0 AND ax1 <= bx1 AND ay0 >= by0 AND ay1 <= by1 AS i, bx0 >= ax0 AND bx1 <= ax1 AND by0 >= ay0 AND by1 <= ay1 AS o, ax0 = bx0 OR ax1 = bx1 OR ay0 = by0 OR ay1 = by1 AS m FROM b) SELECT id, ax0, ax1, ay0, ay1, bx0, bx1, by0, by1, CASE WHEN ox < 0 OR oy < 0 THEN 'DC' WHEN ox = 0 OR oy = 0 THEN 'EC' WHEN i AND o THEN 'EQ' WHEN i AND m THEN 'TPP' WHEN i THEN 'NTPP' WHEN o AND m THEN 'TPPi' WHEN o THEN 'NTPPi' ELSE 'PO' END AS rel FROM r",
         "b12_questions": f"WITH {_QUESTIONS} SELECT * FROM qq",
         "b10_posteriors": f"WITH {_NETS}, {_QUESTIONS}, {joint} SELECT id, round(CASE WHEN sum(p) > 0 THEN coalesce(sum(p) FILTER (WHERE {bit('target')} = 1), 0) / sum(p) END, 6) AS p FROM jo JOIN qq USING (id) WHERE {bit('given')} = given_state GROUP BY id",
         "b14_bif": f"WITH {_NETS} SELECT id, var, CAST(len(pa) AS INT) AS parents, k, round(one, 9) AS p FROM nr",

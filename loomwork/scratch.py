@@ -66,8 +66,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data directory."""
+def table(spark: SparkSession, sf_dir: str | dict[str, DataFrame], name: str) -> DataFrame:
+    """One of the Parquet tables of a data directory, or of a dictionary of tables."""
+    if isinstance(sf_dir, dict):
+        return sf_dir[name]
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,7 +11,7 @@ from loomwork.plans import registry
 from loomwork.plans.language import apply_diff
 
 SF = os.environ.get("LOOMWORK_SF", "/root/testdata/sf0.001")
-QUICK = ["q02_quantile_count_50", "q13_shard", "r04_markdown", "s02_missing", "g08_ancestors", "g07_kth", "k01_allen", "b10_elimination", "t01_fold", "c04_fallback", "l08_bracket_depth", "d02_mutate", "m04_cramer", "z02_scalar", "z14_js", "i26_budget", "f13_balanced_batch", "ext_as_of", "ext_stream_state"]
+QUICK = ["q02_quantile_count_50", "q13_shard", "r04_markdown", "s02_missing", "g08_ancestors", "g07_kth", "k01_allen", "b10_elimination", "t01_fold", "l08_bracket_depth", "d02_mutate", "m04_cramer", "z02_scalar", "z14_js", "i26_budget", "f13_balanced_batch", "ext_as_of", "ext_stream_state"]
 
 
 def plain(rows):
