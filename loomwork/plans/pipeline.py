@@ -84,4 +84,5 @@ UNION ALL SELECT file_id, '', field FROM come WHERE NOT EXISTS (SELECT 1 FROM on
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p6_found": _P6}
+    records = _P2.replace("SELECT file_key, line_no FROM l", "SELECT file_key, line_no, line ->> '$.answer' AS answer, line ->> '$.metadata' AS metadata FROM l")
+    return {"p2_found": _P2, "p2_records": records, "p6_found": _P6}

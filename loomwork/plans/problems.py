@@ -379,6 +379,7 @@ jo AS (
         "z27_plan": f"WITH RECURSIVE {_GROUND}{_PROBLEMS}{_SEARCH}{_CHECKED} SELECT id, score, CASE score WHEN 1.0 THEN 'valid' WHEN 0.1 THEN 'bad_semantics' ELSE 'plan parsing error' END AS tag FROM sc",
         "c12_plan_states": f"WITH RECURSIVE {_GROUND}{_PROBLEMS}{_SEARCH}, st AS (SELECT ps.id, ps.dom, string_split(plan, ' ') AS p, 0 AS k, init AS state FROM best JOIN ps USING (id) WHERE plan <> '' UNION ALL SELECT st.id, st.dom, p, k + 1, (state & ~cl) | ad FROM st JOIN ga ON ga.dom = st.dom AND ga.no = CAST(p[k + 1] AS INT)) SELECT id, k AS step, state FROM st WHERE k > 0",
         "c01_text": f"WITH {_CSP} SELECT id, k, CASE kind WHEN 'alldiff' THEN 'AllDifferent(' || array_to_string(list_transform(idx, lambda i: 'x' || i), ', ') || ')' WHEN 'lin' THEN replace(s, '+ -', '- ') || ' ' || op || ' ' || rhs ELSE '(' || replace(s, '+ -', '- ') || ') % ' || md || ' == ' || rhs END AS text FROM cs JOIN (SELECT id, k, string_agg({text}, ' + ' ORDER BY i) AS s FROM va GROUP BY 1, 2) USING (id, k)",
+        "c05_structure": f"WITH p AS (SELECT {_C} AS id, CAST(4 + {_d('c_custkey', 50)} % 3 AS INT) AS n, {_d('c_custkey', 51)} % 4 AS mode FROM customer), v AS (SELECT id, n, mode, CAST(i AS INT) AS i FROM p, range(6) r(i) WHERE i < n), e AS (SELECT x.id, x.n, x.i AS a, y.i AS b FROM v x JOIN v y ON x.id = y.id AND x.i < y.i WHERE CASE x.mode WHEN 0 THEN true WHEN 1 THEN {_d('x.id', 'x.i', 'y.i', 52)} % 100 < 40 WHEN 2 THEN (y.i = x.i + 1 AND x.i % 2 = 0) OR y.i = x.i + 2 ELSE {_d('x.id', 'x.i', 'y.i', 52)} % 100 < CASE WHEN {_d('x.id', 'x.i', 53)} % 2 = {_d('x.id', 'y.i', 53)} % 2 THEN 80 ELSE 10 END END), l AS (SELECT id, n, i, CAST((i + 1 + {_d('id', 'i', 54)} % (n - 1)) % n AS INT) AS j FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = v.id AND (e.a = v.i OR e.b = v.i))) SELECT id, a, b FROM e UNION SELECT id, least(i, j), greatest(i, j) FROM l",
         "c02_solve_all": f"WITH {_CSP} SELECT id, x FROM so",
         "c03_solve_min": f"WITH {_CSP} SELECT id, min(x) AS x FROM so GROUP BY 1",
         "c04_answers": f"WITH {_CSP}, g AS (SELECT id, count(*) AS n, min(x) AS x, string_agg(x, ';' ORDER BY x) AS every FROM so GROUP BY 1) SELECT pv.id, CASE WHEN g.n IS NULL THEN 'UNSAT' WHEN g.n > 256 THEN 'min' ELSE 'all' END AS mode, coalesce(g.n, 0) AS n, CASE WHEN g.n IS NULL THEN 'UNSAT' WHEN g.n > 256 THEN x ELSE every END AS answer FROM pv LEFT JOIN g ON g.id = pv.id",
